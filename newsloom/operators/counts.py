@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import null_safe_semi
+from newsloom.operators.joins import null_safe_members
 
 # Fixed value: the catch-all label.
 OTHER = "sonstiges"
@@ -36,8 +36,18 @@ def exclude(df: DataFrame, column: str, values: Iterable[str]) -> DataFrame:
     return df.filter(~F.coalesce(F.col(column).isin(list(values)), F.lit(False)))
 
 
+def named_only(top: DataFrame, label: str, blank: bool = True) -> DataFrame:
+    """A top-k list without null, the catch-all label and, if wanted, the blank one.
+
+    Filtering the short list instead of the counted rows leaves those rows shareable.
+    """
+    named = top.filter(F.col(label) != OTHER)
+    return named if blank else named.filter(F.col(label) != "")
+
+
 def keep_top(df: DataFrame, top: DataFrame, label: str) -> DataFrame:
-    return null_safe_semi(df, top, label)
+    """Rows whose label is in the top-k list."""
+    return null_safe_members(df, top, label)
 
 
 def lump(df: DataFrame, top: DataFrame, label: str, out: str, other: str = OTHER) -> DataFrame:

@@ -50,7 +50,8 @@ def extract_links(pages: DataFrame, container: str = "article", keep: Sequence[s
         for html in batches:
             yield html.map(lambda page: markup.first_links(page, container))
 
-    return pages.select(*keep, F.explode(links("html")).alias("url"))
+    found = pages.select(*keep, links.asNondeterministic()("html").alias("_links"))
+    return found.select(*keep, F.explode("_links").alias("url"))
 
 
 def page_fields(pages: DataFrame, fields: Sequence[Field] = ARTICLE_FIELDS) -> DataFrame:
@@ -66,7 +67,8 @@ def page_fields(pages: DataFrame, fields: Sequence[Field] = ARTICLE_FIELDS) -> D
             yield pd.DataFrame(rows, columns=names, dtype="object")
 
     rest = [c for c in pages.columns if c != "html"]
-    parsed = pages.select(*rest, read("html").alias("_fields"))
+    # marked so that a filter on the fields stays above the parse instead of repeating it
+    parsed = pages.select(*rest, read.asNondeterministic()("html").alias("_fields"))
     return parsed.select(
         *rest,
         *[

@@ -47,6 +47,15 @@ def dates_since(spark, start: dt.date, today: dt.date | None = None, base: str =
     return front_page_dates(spark.range(1).select(F.lit(start).alias("newest")), "newest", today, base)
 
 
+def as_frontier(urls: DataFrame) -> DataFrame:
+    """The full form of an older frontier: no day, nothing downloaded yet."""
+    full = urls
+    if "datum" not in urls.columns:
+        full = full.withColumn("datum", F.lit(None).cast("date"))
+    state = F.col("downloaded") if "downloaded" in urls.columns else F.lit(None)
+    return full.select("url", "datum", F.coalesce(state.cast("int"), F.lit(TODO)).alias("downloaded"))
+
+
 def new_entries(links: DataFrame, run_date: dt.date | None = None) -> DataFrame:
     """Links as frontier rows: found on the day of the run, not yet downloaded."""
     return links.select(

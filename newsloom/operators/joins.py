@@ -85,9 +85,11 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = REPEAT_CHUNK) -> DataFra
     return spread.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_size")))).select(*columns)
 
 
-def null_safe_semi(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is among ``values`` (null matches null); ``values`` is a top-k list."""
+def null_safe_members(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is among the distinct ``values`` (null matches null).
+
+    ``values`` is a top-k list, so its size is bound by k.  The inner join of distinct values
+    keeps each row once and, unlike a semi join, stays above a shared aggregate.
+    """
     names = values.select(F.col(column).alias("_member"))
-    return df.join(
-        F.broadcast(names), df[column].eqNullSafe(names["_member"]), "left_semi"
-    )
+    return df.join(F.broadcast(names), df[column].eqNullSafe(names["_member"])).drop("_member")

@@ -29,7 +29,8 @@ def logits_of(df: DataFrame, load: Callable[[], Scorer], text: str = "body", out
         for texts in batches:
             yield pd.Series([list(map(float, row)) for row in scorer(texts.fillna("").tolist())], dtype="object")
 
-    return df.withColumn(out, score(F.col(text)))
+    # marked so that a filter on the result never runs the model twice
+    return df.withColumn(out, score.asNondeterministic()(F.col(text)))
 
 
 def add_column_if_absent(df: DataFrame, column: str, kind: str = "double") -> DataFrame:

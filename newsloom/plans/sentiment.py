@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import WORD_BOUNDARIES, any_of, matches_any
-from newsloom.operators.counts import OTHER, keep_top, lump, top_k
+from newsloom.operators.counts import keep_top, lump, named_only, top_k
 from newsloom.operators.extremes import classify_extremes
 from newsloom.operators.joins import fits_broadcast, repeat_rows
 from newsloom.operators.sentiment import lexicon_score
@@ -65,11 +65,8 @@ def tagged_sentiment(
 ) -> DataFrame:
     """Sentiment per day and top-k label over the articles selected by ``where``."""
     daily = daily_scores(articles.filter(where), lexicon, label, word_pattern)
-    kept = keep_top(daily, top_k(daily, label, k, weight="n"), label)
-    kept = kept.filter(F.col(label) != OTHER)
-    if drop_blank:
-        kept = kept.filter(F.col(label) != "")
-    groups = with_constant_share(kept.withColumnRenamed(label, out))
+    top = named_only(top_k(daily, label, k, weight="n"), label, blank=not drop_blank)
+    groups = with_constant_share(keep_top(daily, top, label).withColumnRenamed(label, out))
     return classify_extremes(groups, "sum_sentiment", floor)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.dates import day, week
-from newsloom.operators.counts import OTHER, count_by, exclude, keep_top, share_within, top_k
+from newsloom.operators.counts import count_by, exclude, keep_top, named_only, share_within, top_k
 from newsloom.plans import presets
 
 
@@ -22,9 +22,9 @@ def weekly_label_share(
     come from those.
     """
     weekly = count_by(articles, week(F.col("pubdate")).alias("week"), label)
-    kept = keep_top(weekly, top_k(weekly, label, k, weight="n"), label)
-    named = kept.filter(F.col(label) != OTHER).withColumnRenamed(label, out)
-    return share_within(named, "n", "week")
+    top = named_only(top_k(weekly, label, k, weight="n"), label)
+    kept = keep_top(weekly, top, label).withColumnRenamed(label, out)
+    return share_within(kept, "n", "week")
 
 
 def author_daily_activity(
@@ -37,5 +37,6 @@ def author_daily_activity(
     daily = count_by(articles, day(F.col("pubdate")).alias("day"), "origins")
     top = exclude(top_k(daily, "origins", k, weight="n"), "origins", excluded)
     # Tied to the count so that it stays above the shared aggregate instead of splitting the scan.
-    recent = F.col("n") * (F.col("day") >= F.lit(dt.date(first_year, 1, 1))).cast("int") > 0
+    in_range = F.coalesce((F.col("day") >= F.lit(dt.date(first_year, 1, 1))).cast("int"), F.lit(0))
+    recent = F.col("n") * in_range > 0
     return keep_top(daily.filter(recent), top, "origins")

@@ -16,8 +16,20 @@ from (values ('the',0.004),('of',-0.02),('and',0.0312),('und',0.1),('und',-0.03)
 """
 
 
+# Given columns used here; a stated schema saves the job that would infer it.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "orders": "o_orderdate timestamp_ntz, o_totalprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, value double",
+    "embeddings": "vec_id bigint, embedding array<float>",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

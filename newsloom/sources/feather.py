@@ -71,8 +71,13 @@ class FeatherReader(DataSourceReader):
             stored = ipc.open_file(source)
             for i in range(partition.first, partition.last):
                 batch = stored.get_batch(i)
-                table = pa.Table.from_batches([batch]).select(self.schema.names).cast(self.schema)
-                yield from table.to_batches()
+                columns = [
+                    batch.column(field.name).cast(field.type)
+                    if field.name in batch.schema.names
+                    else pa.nulls(batch.num_rows, field.type)
+                    for field in self.schema
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
 
 @dataclass

@@ -37,20 +37,34 @@ def read_parquet(
     return table.select(*columns) if columns else table
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns of ``schema`` by name and type; absent ones and unreadable values become null."""
+    return df.select(
+        *[
+            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]
+    )
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header, quotes and line breaks inside values; columns are matched by position of ``schema``."""
-    table = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", False)
+    """CSV with a header, read by column name: other columns (an index, say) are left out.
+
+    ``multi_line`` allows line breaks inside values; such files cannot be split into tasks.
+    """
+    raw = (
+        spark.read.option("header", True)
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
+    table = conform(raw, schema)
     return table.select(*columns) if columns else table
 
 
@@ -78,4 +92,7 @@ def spread(df: DataFrame, minimum: int | None = None) -> DataFrame:
     through untouched.
     """
     wanted = minimum or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    # always true, but it keeps costly filters above the exchange, where they run on all cores
+    return df.repartition(wanted).filter(F.spark_partition_id() >= 0)
