@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.joins import null_safe_members
@@ -60,6 +60,11 @@ def lump(df: DataFrame, top: DataFrame, label: str, out: str, other: str = OTHER
 
 
 def share_within(df: DataFrame, amount: str, parent: str, out: str = "percentage") -> DataFrame:
-    """``amount`` as a share of its parent group; meant for reduced frames."""
-    total = F.sum(amount).over(Window.partitionBy(parent))
-    return df.withColumn(out, F.col(amount) / total)
+    """``amount`` as a share of its parent group, for reduced frames.
+
+    The totals are combined before they move and joined back, so a parent with very many rows is
+    not gathered in one task.
+    """
+    totals = df.groupBy(F.col(parent).alias("_parent")).agg(F.sum(amount).alias("_total"))
+    joined = df.join(totals, df[parent].eqNullSafe(totals["_parent"]))
+    return joined.withColumn(out, F.col(amount) / F.col("_total")).drop("_parent", "_total")

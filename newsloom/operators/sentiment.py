@@ -23,7 +23,11 @@ def article_words(
 
 def lexicon_hits(words: DataFrame, lexicon: DataFrame, how: str = "inner") -> DataFrame:
     """Words joined with the lexicon; a word listed twice there counts twice."""
-    return words.join(F.broadcast(lexicon.select("word", "value")), "word", how)
+    entries = lexicon.select("word", "value")
+    if fits_broadcast(entries):
+        return words.join(F.broadcast(entries), "word", how)
+    rest = [c for c in words.columns if c != "word"]
+    return salted_join(words, entries, "word", F.xxhash64(*rest), how)
 
 
 def lexicon_score(
@@ -50,7 +54,7 @@ def lexicon_score(
     if not fits_broadcast(entries):
         return lexicon_score_shuffled(articles, entries, keep, text, pattern, out)
     words = article_words(articles, *keep, text=text, pattern=pattern)
-    points = words.join(F.broadcast(entries), "word", "left")
+    points = words.join(F.broadcast(entries), "word", "left")  # measured above
     return points.groupBy(*keep).agg(
         score_rounding(F.coalesce(F.sum("value"), F.lit(0.0))).alias(out)
     )

@@ -6,9 +6,10 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.operators import dedup, extract, frontier, scoring
-from newsloom.operators.joins import repeat_rows
+from newsloom.operators.joins import join_checked, repeat_rows
 from newsloom.session import written_table
 from newsloom.sources import sinks
 
@@ -42,13 +43,13 @@ def collect_articles(
     and stored; an address that is pending twice gives two article rows.
     """
     waiting = frontier.pending(frontier.todo(known), collected, base)
-    wanted = waiting.groupBy("url").count()
-    needed = pages.select("url", "html").join(wanted.select("url"), "url", "left_semi")
+    wanted = written_table(waiting.groupBy("url").count(), "wanted")
+    needed = join_checked(pages.select("url", "html"), wanted, "url")
     read = written_table(extract.read_articles(needed, fields), "read")
     results = written_table(frontier.outcomes(read, wanted), "outcomes")
-    found = extract.accepted(read).join(wanted, "url")
-    again = repeat_rows(found.filter("count > 1"), "count")
-    new = found.filter("count = 1").drop("count").unionByName(again)
+    found = extract.accepted(read)
+    again = repeat_rows(found.filter(F.col("count") > 1), "count")
+    new = found.filter(F.col("count") == 1).drop("count").unionByName(again)
     return new, frontier.apply_outcomes(known, results)
 
 

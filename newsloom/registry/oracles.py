@@ -408,6 +408,30 @@ def oracle_sql() -> dict[str, str]:
             """select * from frontier where url is not null and not contains(url, '://')
                and url not in (select url from collected)""",
         ),
+        "grown_frontier": _with(
+            ["frontier"],
+            r"""select * from frontier union all
+               select unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)), date '2024-03-15', cast(0 as integer)
+               from pages, (select cast(max(ts) as date) as newest from events)
+               where date '2024-01-01' + cast(page_id as integer) between newest + 1 and date '2024-03-16'""",
+        ),
+        "collected_articles": _with(
+            ["markup"],
+            """select * exclude (id) from markup where subtitle is not null and pubdate is not null
+               and id not in (select doc_id from labels)""",
+        ),
+        "frontier_after_collection": _with(
+            ["markup", "frontier"],
+            """select case when waiting and not ok then null else url end as url, date '2024-02-03' as datum,
+                      cast(case when not waiting then 0 when ok then 1 else 2 end as integer) as downloaded
+               from (select url, id not in (select doc_id from labels) as waiting,
+                            subtitle is not null and pubdate is not null as ok from markup)
+               union all
+               select case when url in (select url from frontier where downloaded = 0 and not contains(url, '://'))
+                           then null else url end, datum,
+                      case when downloaded = 0 and not contains(url, '://') then 2 else downloaded end
+               from frontier""",
+        ),
         "frontier_outcome": _with(["updated"], "select * from updated"),
         "score_missing_merge": _with(
             ["scored"],

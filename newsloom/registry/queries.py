@@ -14,7 +14,7 @@ from newsloom.functions import dates, scores, text
 from newsloom.operators import counts, dedup, extract, extremes, frontier, scoring, sentiment, tags
 from newsloom.operators.joins import repeat_rows
 from newsloom.plans import sentiment as sentiment_plans
-from newsloom.plans import trends
+from newsloom.plans import collection, trends
 from newsloom.registry import scorer, views
 from newsloom.session import shared_path, written_table
 from newsloom.sources import feather, sinks, tables
@@ -633,6 +633,39 @@ def frontier_outcome(spark, sf):
     return _failed_nulled(spark, sf)
 
 
+@query
+def grown_frontier(spark, sf):
+    """Frontier plus the links of the front pages since the newest event; one page stands for each day."""
+    day = F.expr("date_add(date'2024-01-01', cast(page_id as int))")
+    fronts = views.pages(spark, sf).select(
+        text.absolute_url("https://news.example/frontpage/", dates.day_path(day)).alias("url"), "html"
+    )
+    stored = views.table(spark, sf, "events").select(F.col("ts").alias("pubdate"))
+    return collection.grow_frontier(
+        stored, fronts, views.frontier(spark, sf), "https://news.example/frontpage/", TODAY, "li"
+    )
+
+
+def _collection_run(spark, sf):
+    """All article pages are known, labelled ones are collected already, absolute ones are skipped."""
+    markup = tables.spread(views.article_markup(spark, sf)).select("url", "html")
+    known = frontier.new_entries(markup, RUN_DATE).unionByName(views.frontier(spark, sf))
+    have = views.table(spark, sf, "labels").select(
+        F.concat(F.lit("/story/"), F.col("doc_id").cast("string")).alias("url")
+    )
+    return collection.collect_articles(known, have, markup, BASE)
+
+
+@query
+def collected_articles(spark, sf):
+    return _collection_run(spark, sf)[0]
+
+
+@query
+def frontier_after_collection(spark, sf):
+    return _collection_run(spark, sf)[1]
+
+
 # ---- model scores
 
 

@@ -1,0 +1,88 @@
+import pytest
+
+from newsloom.functions.markup import first_elements, first_links
+from newsloom.operators import extract
+
+PAGE = """<html><body><article class="story"><p class="lead article-kicker">
+ Wirtschaft</p><h1 class="article-title"> Kurse &amp; Märkte</h1>
+<p class="article-subtitle">Unter<b>titel</b> </p>{origins}
+<time datetime=" {time} ">gestern</time><time datetime="2000-01-01T00:00">x</time>
+<div class="article-body"> Erster <div>innen</div><br> Rest
+</div></article></body></html>"""
+ORIGINS = "<span class='article-origins'> APA, red </span>"
+
+
+def page(origins=ORIGINS, time="2023-05-01T12:34"):
+    return PAGE.format(origins=origins, time=time)
+
+
+def read(spark, *htmls):
+    pages = spark.createDataFrame([(f"/p{i}", h) for i, h in enumerate(htmls)], "url string, html string")
+    return extract.read_articles(pages)
+
+
+def test_all_fields(spark):
+    row = extract.accepted(read(spark, page())).first()
+    assert (row.url, row.kicker, row.title, row.subtitle, row.origins) == (
+        "/p0", "Wirtschaft", "Kurse & Märkte", "Untertitel ", "APA, red",
+    )
+    assert str(row.pubdate) == "2023-05-01 12:34:00"
+    assert row.body == "Erster innen Rest"
+
+
+def test_missing_origins_is_blank_and_accepted(spark):
+    assert extract.accepted(read(spark, page(origins=""))).first().origins == ""
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        page().replace("article-title", "other"),
+        page().replace("article-body", "other"),
+        page(time="2023-05-01T12:34:56"),
+        page().replace("datetime", "data-time"),
+        "",
+        "<p>no article",
+        None,
+    ],
+)
+def test_incomplete_pages_are_rejected(spark, html):
+    found = read(spark, page(), html)
+    assert [r.url for r in extract.accepted(found).collect()] == ["/p0"]
+    assert [r.url for r in extract.rejected(found).collect()] == ["/p1"]
+
+
+def test_class_must_be_a_whole_word():
+    assert first_elements('<p class="article-titles">a</p><p class="x article-title">b', [(".article-title", None)]) == ["b"]
+
+
+def test_unclosed_and_nested_elements():
+    html = "<div class=a>1<p>2<p>3<div>4</div></div>5<ul><li class=b>6<li>7</ul>"
+    assert first_elements(html, [(".a", None), (".b", None), ("p", None), ("h1", None)]) == ["1234", "6", "2", None]
+
+
+def test_script_text_and_line_ends():
+    html = "<div>a\r\nb<script>if (1 < 2) x('</p>')</script></div>"
+    assert first_elements(html, [("div", None)]) == ["a\nbif (1 < 2) x('</p>')"]
+
+
+def test_links_are_first_per_container():
+    html = """<a href=/out>x</a><article><h2><a href=/1>a</a></h2><a href=/2>b</a></article>
+      <article><p>no link</p></article><article><a name=top>no address</a></article>
+      <article>outer<article><a href="/3?a=1&amp;b=2">c</a></article></article>"""
+    assert first_links(html, "article") == ["/1", None, "/3?a=1&b=2", "/3?a=1&b=2"]
+
+
+def test_link_rows(spark):
+    pages = spark.createDataFrame(
+        [("f1", "<article><a href=/1></a></article><article></article><article><a href=/2>"), ("f2", None), ("f3", "")],
+        "url string, html string",
+    )
+    found = extract.extract_links(pages.withColumnRenamed("url", "front"), keep=("front",))
+    assert sorted(map(tuple, found.collect())) == [("f1", "/1"), ("f1", "/2")]
+
+
+def test_pages_are_parsed_once(spark):
+    found = extract.accepted(read(spark, page()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
