@@ -1,7 +1,7 @@
 """Timing of the headline queries: one JSON line on stdout.
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the cores (default 8),
-``BENCH_RUNS`` the timed runs per query after one warm-up (default 5; the median counts).
+``BENCH_RUNS`` the timed runs per query after one warm-up (default 3; the median counts).
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     wanted = sys.argv[1:] or HEADLINE
     spark = build_session(
         f"local[{cpus}]",

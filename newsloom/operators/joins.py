@@ -14,17 +14,14 @@ REPEAT_CHUNK = 100_000
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure ``df``: rows first (file footers for stored tables), bytes only if few rows."""
-    rows = df.count()
-    if rows > max_rows:
-        return False
-    fixed = sum(16 for f in df.schema if not isinstance(f.dataType, T.StringType))
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    total = rows * (fixed + 16)
-    if texts and rows:
-        widths = [F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long") for name in texts]
-        total += df.agg(F.sum(sum(widths[1:], widths[0]))).first()[0]
-    return total <= max_bytes
+    """Measure ``df`` in one distributed aggregate: few enough rows, and few enough bytes."""
+    fixed = 16 + 16 * sum(not isinstance(f.dataType, T.StringType) for f in df.schema)
+    width = F.lit(fixed)
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType):
+            width = width + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
 
 
 def join_checked(

@@ -283,7 +283,8 @@ def skip_absolute_urls(spark, sf):
 
 
 def _failed_nulled(spark, sf):
-    return frontier.apply_outcomes(views.frontier(spark, sf), views.link_outcomes(spark, sf))
+    links = views.stored_links(spark, sf)
+    return frontier.apply_outcomes(views.frontier(spark, sf, links), views.link_outcomes(links))
 
 
 @query
@@ -348,7 +349,8 @@ def forget_one_url(spark, sf):
 
 @query
 def collected_removed(spark, sf):
-    return frontier.not_collected(views.frontier(spark, sf), views.collected(spark, sf))
+    links = views.stored_links(spark, sf)
+    return frontier.not_collected(views.frontier(spark, sf, links), views.collected(links))
 
 
 @query
@@ -465,15 +467,17 @@ def top_k_then_exclude(spark, sf):
 
 @query
 def frontier_append(spark, sf):
-    known = views.frontier(spark, sf)
-    fresh = frontier.new_entries(views.page_links(spark, sf), RUN_DATE)
+    links = views.stored_links(spark, sf)
+    known = views.frontier(spark, sf, links)
+    fresh = frontier.new_entries(links, RUN_DATE)
     return frontier.append_frontier(known, fresh)
 
 
 @query
 def older_frontier_append(spark, sf):
     """A frontier of addresses only next to the full form: missing columns become null."""
-    return frontier.append_frontier(views.frontier(spark, sf), views.collected(spark, sf))
+    links = views.stored_links(spark, sf)
+    return frontier.append_frontier(views.frontier(spark, sf, links), views.collected(links))
 
 
 # ---- scalar functions
@@ -625,7 +629,8 @@ def frontier_dates_none(spark, sf):
 
 @query
 def frontier_pending(spark, sf):
-    return frontier.pending(views.frontier(spark, sf), views.collected(spark, sf), BASE)
+    links = views.stored_links(spark, sf)
+    return frontier.pending(views.frontier(spark, sf, links), views.collected(links), BASE)
 
 
 @query

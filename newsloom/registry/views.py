@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.extract import extract_links
+from newsloom.session import written_table
 from newsloom.sources.tables import spread
 
 # The lexicon of the checks (a repeated word, and a capitalised one that never matches).
@@ -94,27 +95,32 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_links(spread(source), "li", keep=("page_url",))
 
 
-def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages, extracted once."""
+    return written_table(page_links(spark, sf_dir), "links")
+
+
+def frontier(spark: SparkSession, sf_dir: str, links: DataFrame | None = None) -> DataFrame:
     """Page addresses (absolute, to do) and their links (relative; done if found over plain http)."""
     own = pages(spark, sf_dir).select(
         "url", F.lit("2024-02-01").cast("date").alias("datum"), F.lit(0).alias("downloaded")
     )
-    links = page_links(spark, sf_dir).select(
+    found = (page_links(spark, sf_dir) if links is None else links).select(
         "url",
         F.lit("2024-02-02").cast("date").alias("datum"),
         F.col("page_url").startswith("http://").cast("int").alias("downloaded"),
     )
-    return own.unionByName(links)
+    return own.unionByName(found)
 
 
-def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def collected(links: DataFrame) -> DataFrame:
     """Addresses that already have an article: the links found over plain http."""
-    return page_links(spark, sf_dir).filter(F.col("page_url").startswith("http://")).select("url")
+    return links.filter(F.col("page_url").startswith("http://")).select("url")
 
 
-def link_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def link_outcomes(links: DataFrame) -> DataFrame:
     """One outcome per address found over https; the long ones failed."""
-    tried = page_links(spark, sf_dir).filter(F.col("page_url").startswith("https://"))
+    tried = links.filter(F.col("page_url").startswith("https://"))
     return tried.select("url").distinct().select("url", (F.length("url") > 6).alias("failed"))
 
 
