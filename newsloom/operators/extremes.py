@@ -89,7 +89,7 @@ def exact_quantiles(
 def bounded_thresholds(quantiles: DataFrame, floor: float) -> DataFrame:
     """Thresholds at least ``floor`` away from zero on either side."""
     return quantiles.select(
-        F.least(F.col("low"), F.lit(-float(floor))).alias("low"),
+        F.least(F.col("low"), F.lit(0.0 - floor)).alias("low"),
         F.greatest(F.col("high"), F.lit(float(floor))).alias("high"),
     )
 

@@ -24,12 +24,11 @@ from newsloom.session import written_table
 def daily_scores(
     tagged: DataFrame, lexicon: DataFrame, label: str, pattern: str = WORD_BOUNDARIES
 ) -> DataFrame:
-    """Articles and summed scores per day and label, written once."""
+    """Articles and summed scores per day and label."""
     scored = lexicon_score(tagged, lexicon, keep=("id", "pubdate", label), pattern=pattern)
-    daily = scored.groupBy("pubdate", label).agg(
+    return scored.groupBy("pubdate", label).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("sum_sentiment")
     )
-    return written_table(daily, "daily-scores")
 
 
 def with_constant_share(groups: DataFrame) -> DataFrame:
@@ -48,7 +47,8 @@ def exclusive_tag_sentiment(
 ) -> DataFrame:
     """Sentiment per day and party over articles that name exactly one party."""
     tagged = exclusive_tag(tag(articles, patterns), names, out)
-    groups = with_constant_share(daily_scores(tagged, lexicon, out, word_pattern))
+    daily = written_table(daily_scores(tagged, lexicon, out, word_pattern), "daily")
+    groups = with_constant_share(daily)
     return classify_extremes(groups, "sum_sentiment", floor)
 
 
@@ -64,7 +64,7 @@ def tagged_sentiment(
     word_pattern: str = WORD_BOUNDARIES,
 ) -> DataFrame:
     """Sentiment per day and top-k label over the articles selected by ``where``."""
-    daily = daily_scores(articles.filter(where), lexicon, label, word_pattern)
+    daily = written_table(daily_scores(articles.filter(where), lexicon, label, word_pattern), "daily")
     top = named_only(top_k(daily, label, k, weight="n"), label, blank=not drop_blank)
     groups = with_constant_share(keep_top(daily, top, label).withColumnRenamed(label, out))
     return classify_extremes(groups, "sum_sentiment", floor)
@@ -121,6 +121,7 @@ def market_articles_with_index(
     priced = daily.join(prices, daily["pubdate"] == prices["date"]).select(
         daily["*"], F.col("close").alias(price)
     )
+    priced = written_table(priced, "priced")
     lumped = lump(priced, top_k(priced, "kicker", k, weight="n"), "kicker", out)
     keys = ["pubdate", out]
     # per price value: how many article rows carry it; per group: the values shown on each row

@@ -28,7 +28,7 @@ def test_null_label_is_a_member(spark):
 labels = st.lists(st.sampled_from(["a", "b", "c", "sonstiges", "", None]), min_size=1, max_size=30)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(labels, st.integers(1, 4))
 def test_lumping_keeps_every_row(spark, names, k):
     df = frame(spark, names)

@@ -39,7 +39,7 @@ def test_second_oldest_stays(spark, rows, copies, kept):
 titles = st.sampled_from(["a", "b", "", None])
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(titles, titles), min_size=1, max_size=25))
 def test_equals_two_deletes(spark, keys):
     data = [(i, t, s, f"b{i}") for i, (t, s) in enumerate(keys)]

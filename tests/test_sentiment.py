@@ -45,7 +45,7 @@ def test_other_columns_ride_along(spark):
 words = st.lists(st.sampled_from(["gut", "Gut", "schlecht", "krise", "wort", "gut-"]), max_size=30)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(words, min_size=1, max_size=6))
 def test_equals_a_plain_count(spark, texts):
     bodies = [" ".join(t) for t in texts]

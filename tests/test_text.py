@@ -96,7 +96,7 @@ def test_label_mapping_is_a_parameter(spark):
     assert one(spark, [0.2, 0.7, 0.1], swapped, "array<double>") == -1
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.floats(-50, 50, width=32), min_size=3, max_size=3))
 def test_softmax_sums_to_one(spark, logits):
     p = one(spark, logits, scores.softmax, "array<float>")
