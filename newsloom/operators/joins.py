@@ -50,13 +50,13 @@ def join_checked(
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: str, salt_by: Column, how: str = "inner", salts: int = 16
+    big: DataFrame, small: DataFrame, on: str, salt_by: Column, how: str = "inner", salts: int = 32
 ) -> DataFrame:
     """Equi join that spreads each key over ``salts`` tasks.
 
     ``salt_by`` must vary within a hot key and be computed from the row itself, so a repeated task
     gives the same salt.  ``small`` is copied once per salt; ``how`` must keep left rows only
-    (inner, left, left_semi, left_anti).
+    (inner, left, left_semi, left_anti).  Adaptive execution still splits what stays uneven.
     """
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -196,12 +196,12 @@ def frontier_links(spark, sf):
 
 @query
 def page_fields(spark, sf):
-    pages = tables.spread(views.pages(spark, sf))
+    pages = tables.spread(views.pages(spark, sf), "page_id")
     return extract.accepted(extract.read_articles(pages, PAGE_FIELDS))
 
 
 def _read_markup(spark, sf):
-    return extract.read_articles(tables.spread(views.article_markup(spark, sf)))
+    return extract.read_articles(tables.spread(views.article_markup(spark, sf), "id"))
 
 
 @query
@@ -653,7 +653,7 @@ def grown_frontier(spark, sf):
 
 def _collection_run(spark, sf):
     """All article pages are known, labelled ones are collected already, absolute ones are skipped."""
-    markup = tables.spread(views.article_markup(spark, sf)).select("url", "html")
+    markup = tables.spread(views.article_markup(spark, sf), "id").select("url", "html")
     known = frontier.new_entries(markup, RUN_DATE).unionByName(views.frontier(spark, sf))
     have = views.table(spark, sf, "labels").select(
         F.concat(F.lit("/story/"), F.col("doc_id").cast("string")).alias("url")

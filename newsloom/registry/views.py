@@ -51,7 +51,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows, spread over the cores when the file gives too few tasks for text work."""
-    return spread(articles(spark, sf_dir))
+    return spread(articles(spark, sf_dir), "id")
 
 
 def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_url, url: the link of every list item of every page."""
     source = pages(spark, sf_dir).withColumnRenamed("url", "page_url")
-    return extract_links(spread(source), "li", keep=("page_url",))
+    return extract_links(spread(source, "page_id"), "li", keep=("page_url",))
 
 
 def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:

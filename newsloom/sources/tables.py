@@ -85,8 +85,8 @@ def frontier_from_list(spark: SparkSession, urls: Iterable[str | None]) -> DataF
     return spark.createDataFrame([(u,) for u in urls], T.StructType([schemas.FRONTIER["url"]]))
 
 
-def spread(df: DataFrame, minimum: int | None = None) -> DataFrame:
-    """Spread rows over the cluster if the stored files give fewer tasks than it has cores.
+def spread(df: DataFrame, key: str, minimum: int | None = None) -> DataFrame:
+    """Spread rows over the cluster by a unique key if the stored files give fewer tasks than cores.
 
     For inputs in very few row groups whose rows are costly to process; a well split table passes
     through untouched.
@@ -95,4 +95,4 @@ def spread(df: DataFrame, minimum: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= wanted:
         return df
     # always true, but it keeps costly filters above the exchange, where they run on all cores
-    return df.repartition(wanted).filter(F.spark_partition_id() >= 0)
+    return df.repartition(wanted, key).filter(F.spark_partition_id() >= 0)

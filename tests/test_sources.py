@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas, session
+from newsloom.operators import dedup
 from newsloom.operators.keys import next_key, number_rows
 from newsloom.sources import feather, sinks, tables
 
@@ -93,6 +94,24 @@ def test_create_if_absent_keeps_rows(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_bucketed_articles_do_not_move_in_joins_by_key(spark, tmp_path, monkeypatch):
+    name = "b_" + tmp_path.name.replace("-", "_")
+    sinks.create_if_absent(spark, name, str(tmp_path / "b"), schemas.ARTICLES, bucketed_by="id", buckets=8)
+    rows = [(i, f"/{i}", None, f"t{i % 7}", None, None, None, "b") for i in range(40)]
+    spark.createDataFrame(rows, schemas.ARTICLES).write.insertInto(name)
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dedup.dedup_second_oldest(spark.table(name))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert kept.count() == 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide_side = plan[plan.index("SortMergeJoin") : plan.index("Bucketed: true")]
+    assert "Exchange" not in wide_side and "SelectedBucketsCount" in plan
+    spark.sql(f"DROP TABLE {name}")
+
+
 @pytest.mark.parametrize("parts", [1, 4, 13])
 def test_keys_are_consecutive(spark, parts):
     df = spark.range(100).select(F.col("id").alias("old")).repartition(parts)
@@ -119,8 +138,8 @@ def test_local_list(spark):
 
 
 def test_spread_only_narrow_inputs(spark):
-    assert tables.spread(spark.range(10, numPartitions=1), 4).rdd.getNumPartitions() == 4
-    assert tables.spread(spark.range(10, numPartitions=6), 4).rdd.getNumPartitions() == 6
+    assert tables.spread(spark.range(10, numPartitions=1), "id", 4).rdd.getNumPartitions() == 4
+    assert tables.spread(spark.range(10, numPartitions=6), "id", 4).rdd.getNumPartitions() == 6
 
 
 def test_shared_folder_is_the_configured_one(spark):
