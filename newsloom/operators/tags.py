@@ -29,14 +29,13 @@ def first_label(labels: Mapping[str, str]) -> Column:
 
 
 def exclusive_tag(df: DataFrame, labels: Mapping[str, str], out: str = "label") -> DataFrame:
-    """Rows carrying exactly one of the flags, named by it; the flags are dropped.
+    """Rows carrying exactly one of the flags, named by it (not by ""); the flags are dropped.
 
     Filter and label come from one generated column: as two steps the optimizer would evaluate
     every pattern twice.
     """
-    found = F.filter(
-        F.array(*[F.when(F.col(flag), F.lit(label)) for flag, label in labels.items()]),
-        lambda label: label.isNotNull(),
+    found = F.array_remove(
+        F.array(*[F.when(F.col(flag), label).otherwise("") for flag, label in labels.items()]), ""
     )
     kept = [c for c in df.columns if c not in labels]
     only = F.when(F.size(found) == 1, found)

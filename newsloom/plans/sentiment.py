@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import WORD_BOUNDARIES, any_of, matches_any
-from newsloom.operators.counts import keep_top, lump, named_only, top_k
+from newsloom.operators.counts import keep_top, lump, named_only, share_within, top_k
 from newsloom.operators.extremes import classify_extremes
 from newsloom.operators.joins import fits_broadcast, repeat_rows
 from newsloom.operators.sentiment import lexicon_score
@@ -36,6 +36,11 @@ def with_constant_share(groups: DataFrame) -> DataFrame:
     return groups.withColumn("percentage", F.col("n") / F.col("n"))
 
 
+def with_share_of_day(groups: DataFrame) -> DataFrame:
+    """Next to the constant share, a group's share of its day's articles."""
+    return share_within(groups, "n", "pubdate", "share_of_day")
+
+
 def exclusive_tag_sentiment(
     articles: DataFrame,
     lexicon: DataFrame,

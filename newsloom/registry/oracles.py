@@ -292,6 +292,11 @@ def oracle_sql() -> dict[str, str]:
         "constant_share": _with(
             a, "select pubdate, kicker, count(*) as n, cast(1 as double) as percentage from articles group by 1, 2"
         ),
+        "share_of_day": _with(
+            a,
+            """select pubdate, kicker, n, cast(n as double) / sum(n) over (partition by pubdate) as share_of_day
+               from (select pubdate, kicker, count(*) as n from articles group by 1, 2)""",
+        ),
         "repeated_group_values": _with(
             a, "select pubdate, kicker, count(*) over (partition by pubdate, kicker) as n from articles"
         ),

@@ -424,6 +424,11 @@ def constant_share(spark, sf):
     )
 
 
+@query
+def share_of_day(spark, sf):
+    return sentiment_plans.with_share_of_day(counts.count_by(views.articles(spark, sf), "pubdate", "kicker"))
+
+
 @query
 def repeated_group_values(spark, sf):
     """Day and topic counts repeated for each of their articles."""

@@ -1,7 +1,7 @@
 """Feather (Arrow IPC) files as a Spark data source: ``spark.read.format("feather")``.
 
-Reading makes one task per record batch range of a file; writing makes one file per task.  Paths
-may be local or any file system pyarrow knows (``hdfs://``, ``s3://``).
+Reading makes one task per record batch range of a file, or per file when there are many; writing
+makes one file per task.  Paths may be local or any file system pyarrow knows (``hdfs://``, ``s3://``).
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 BATCHES_PER_TASK = 16
 ROWS_PER_BATCH = 65_536
+MANY_FILES = 500
 
 
 def _locate(path: str):
@@ -47,7 +48,7 @@ def _files(path: str):
 class BatchRange(InputPartition):
     file: str
     first: int
-    last: int
+    last: int | None
 
 
 class FeatherReader(DataSourceReader):
@@ -57,6 +58,8 @@ class FeatherReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, files = _files(self.path)
+        if len(files) > MANY_FILES:  # enough tasks without opening each file here
+            return [BatchRange(name, 0, None) for name in files]
         ranges: list[InputPartition] = []
         for name in files:
             with store.open_input_file(name) as source:
@@ -69,7 +72,8 @@ class FeatherReader(DataSourceReader):
         store, _ = _locate(self.path)
         with store.open_input_file(partition.file) as source:
             stored = ipc.open_file(source)
-            for i in range(partition.first, partition.last):
+            last = stored.num_record_batches if partition.last is None else partition.last
+            for i in range(partition.first, last):
                 batch = stored.get_batch(i)
                 columns = [
                     batch.column(field.name).cast(field.type)

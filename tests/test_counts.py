@@ -66,6 +66,21 @@ def test_weekly_shares(spark):
     }
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 28)), min_size=1, max_size=25))
+def test_shares_of_a_week_sum_to_one(spark, found):
+    df = dated(spark, [(label, "", f"2023-05-{day:02d} 00:00:00") for label, day in found])
+    totals = {}
+    for r in trends.weekly_label_share(df, k=3).collect():
+        totals[r.week] = totals.get(r.week, 0) + r.percentage
+    assert all(total == pytest.approx(1.0) for total in totals.values())
+
+
+def test_shares_with_a_null_parent(spark, rows):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("w", 2)], "week string, n long")
+    assert rows(counts.share_within(df, "n", "week"), "percentage") == [(0.25,), (0.75,), (1.0,)]
+
+
 def test_author_activity(spark, rows):
     df = dated(
         spark,

@@ -58,6 +58,13 @@ def test_feather_written_by_pandas(spark, rows, tmp_path):
     assert feather.read_feather(spark, path).columns == ["index", "url"]
 
 
+def test_many_feather_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "f")
+    feather.write_feather(spark.range(100).repartition(4), path)
+    monkeypatch.setattr(feather, "MANY_FILES", 3)
+    assert feather.read_feather(spark, path).agg(F.sum("id")).first()[0] == 4950
+
+
 def test_lexicon_files(spark, rows, tmp_path):
     df = spark.createDataFrame([("gut", 0.5), ("schlecht", -0.5)], schemas.LEXICON)
     sinks.write_csv(df, str(tmp_path / "csv"))
