@@ -28,16 +28,28 @@ def trim_both(text: Column) -> Column:
     return F.regexp_replace(trim_left(text), _TRAILING, "")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Regex search with Unicode word rules; null text does not match."""
-    return F.coalesce(text.rlike("(?U)" + pattern), F.lit(False))
-
-
-def matches_any(columns: Iterable[str], pattern: str) -> Column:
+def matches(text: Column, pattern: str, needles: Iterable[str] = ()) -> Column:
+    """Regex search with Unicode word rules; null text does not match.
+
+    ``needles`` are plain strings of which every match contains at least one.  They are looked up
+    first, on the stored bytes, so most texts never reach the regex.
+    """
+    found = text.rlike("(?U)" + pattern)
+    hints = [text.contains(needle) for needle in needles]
+    if hints:
+        possible = hints[0]
+        for hint in hints[1:]:
+            possible = possible | hint
+        found = possible & found
+    return F.coalesce(found, F.lit(False))
+
+
+def matches_any(columns: Iterable[str], pattern: str, needles: Iterable[str] = ()) -> Column:
     """True if any of the columns matches."""
+    needles = list(needles)
     found = F.lit(False)
     for name in columns:
-        found = found | matches(F.col(name), pattern)
+        found = found | matches(F.col(name), pattern, needles)
     return found
 
 
@@ -46,6 +58,12 @@ def any_of(terms: Iterable[str]) -> str:
     return "|".join(terms)
 
 
+def plain_terms(terms: Iterable[str]) -> list[str]:
+    """The terms as needles if none of them uses regex syntax, else nothing."""
+    terms = list(terms)
+    return [] if any(set(term) & set(r".^$*+?{}[]\|()") for term in terms) else terms
+
+
 def word_tokens(text: Column, pattern: str = WORD_BOUNDARIES) -> Column:
     """Lower-case words of a whole text, punctuation removed."""
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))

@@ -10,9 +10,20 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import matches_any
 
 
-def tag(df: DataFrame, patterns: Mapping[str, str], columns: Iterable[str] = ("body",)) -> DataFrame:
-    """One boolean column per pattern, true if any of ``columns`` matches it."""
-    return df.withColumns({name: matches_any(columns, p) for name, p in patterns.items()})
+def tag(
+    df: DataFrame,
+    patterns: Mapping[str, str],
+    columns: Iterable[str] = ("body",),
+    needles: Mapping[str, Iterable[str]] | None = None,
+) -> DataFrame:
+    """One boolean column per pattern, true if any of ``columns`` matches it.
+
+    ``needles`` names, per pattern, plain strings of which every match contains one.
+    """
+    hints = needles or {}
+    return df.withColumns(
+        {name: matches_any(columns, p, hints.get(name, ())) for name, p in patterns.items()}
+    )
 
 
 def tag_count(flags: Iterable[str]) -> Column:

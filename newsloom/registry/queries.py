@@ -40,6 +40,7 @@ PATTERNS = {
     "english": word("with"),
     "other": f"{word('été')}|{word('para')}",
 }
+NEEDLES = {"german": ["für"], "french": ["les"], "english": ["with"], "other": ["été", "para"]}
 NAMES = {"german": "DE", "french": "FR", "english": "EN", "other": "XX"}
 TERMS = ("für", "les plus", "les")
 THREE_COLUMNS = ("body", "title", "subtitle")
@@ -245,7 +246,7 @@ def one_column_frame(spark, sf):
 
 @query
 def tag_names(spark, sf):
-    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS)
+    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS, needles=NEEDLES)
     return flagged.select("id", tags.first_label(NAMES).alias("label"))
 
 
@@ -580,7 +581,7 @@ def tag_columns(spark, sf):
 
 @query
 def exclusive_tags(spark, sf):
-    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS).select("id", *PATTERNS)
+    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS, needles=NEEDLES).select("id", *PATTERNS)
     return tags.exclusive_tag(flagged, NAMES)
 
 
@@ -709,7 +710,7 @@ def author_daily_activity(spark, sf):
 @query
 def exclusive_tag_sentiment(spark, sf):
     return sentiment_plans.exclusive_tag_sentiment(
-        views.wide_articles(spark, sf), views.lexicon(spark), PATTERNS, NAMES
+        views.wide_articles(spark, sf), views.lexicon(spark), PATTERNS, NAMES, needles=NEEDLES
     )
 
 
@@ -721,7 +722,7 @@ def term_sentiment_by_kicker(spark, sf):
 @query
 def multi_column_tag_by_origin(spark, sf):
     return sentiment_plans.institution_sentiment_by_author(
-        views.wide_articles(spark, sf), views.lexicon(spark), ANYWHERE
+        views.wide_articles(spark, sf), views.lexicon(spark), ANYWHERE, needles=["para", "les"]
     )
 
 
@@ -735,7 +736,11 @@ def prefix_tag_by_kicker(spark, sf):
 @query
 def market_articles_with_index(spark, sf):
     return sentiment_plans.market_articles_with_index(
-        views.wide_articles(spark, sf), views.lexicon(spark), views.prices(spark, sf), MARKET
+        views.wide_articles(spark, sf),
+        views.lexicon(spark),
+        views.prices(spark, sf),
+        MARKET,
+        needles=["und", "tion", "onte"],
     )
 
 

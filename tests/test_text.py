@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates, scores, text
+from newsloom.plans import presets
 
 
 def one(spark, value, expression, kind="string"):
@@ -52,6 +53,32 @@ def test_regex_uses_unicode_word_rules(spark):
     assert one(spark, None, search("x")) is False
 
 
+fragments = st.sampled_from(
+    ["ÖVP", "SPÖ", "xFPÖ", "FPÖ", "Grüne", "Grünen", "Die Grünen", "Österreichische Volkspartei", "OeNB", "OeNBs", "X-Aktien",
+     "Aktie", "Rezessionen", "ATX", "ATXs", "Börse", "Börsen", "Sebastian Kurz", "Sebastian", "Kapitalmarkt", " ", "é", "."]
+)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(fragments, max_size=5).map("".join), min_size=1, max_size=40))
+def test_needles_never_change_a_match(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "x string")
+    cases = [(p, presets.PARTY_NEEDLES[name]) for name, p in presets.PARTY_PATTERNS.items()] + [
+        (presets.BANK_PATTERN, presets.BANK_NEEDLES),
+        (presets.PERSON_PATTERN, presets.PERSON_NEEDLES),
+        (presets.MARKET_PATTERN, presets.MARKET_NEEDLES),
+        (text.any_of(presets.PARTY_TERMS), text.plain_terms(presets.PARTY_TERMS)),
+    ]
+    assert all(needles for _, needles in cases)
+    column = F.col("x")
+    differing = [text.matches(column, p, n) != text.matches(column, p) for p, n in cases]
+    assert df.select(*[F.count_if(d) for d in differing]).first() == (0,) * len(cases)
+
+
+def test_terms_with_regex_syntax_give_no_needles():
+    assert text.plain_terms(["a", "b.c"]) == [] and text.plain_terms(["ÖVP", "b c"]) == ["ÖVP", "b c"]
+
+
 def test_term_list():
     assert re.search(text.any_of(["ÖVP", "Volkspartei"]), "die Volkspartei")
 
