@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.common import small_batches
+
 NEVER = 1 << 62
-CACHED = 400_000  # entries of each table a Python worker keeps to save work; emptied when full
+# entries of the tables a Python worker keeps to save work (some 100 MB in all); a full one is emptied
+CACHED, CACHED_PREFIXES, CACHED_BORDERS = 200_000, 50_000, 150_000
 STEP = 4  # tables of prefixes are kept at multiples of this many bytes
 
 
@@ -106,7 +109,7 @@ class Vocabulary:
                     pair = last[start - 1] << 32 | token
                     apart = borders.get(pair)
                     if apart is None:
-                        if len(borders) >= CACHED:
+                        if len(borders) >= CACHED_BORDERS:
                             borders.clear()
                         apart = borders[pair] = self.apart(last[start - 1], token)
                     if apart:
@@ -139,7 +142,7 @@ class Vocabulary:
             if at:
                 known = found
             for more in range(at + STEP, len(data), STEP):
-                if len(self.prefixes) >= CACHED:
+                if len(self.prefixes) >= CACHED_PREFIXES:
                     self.prefixes.clear()
                 known = self.prefixes[data[:more]] = self.extend(data[:more], known)
         return self.extend(data, known)
@@ -231,6 +234,10 @@ def vocabulary(data: bytes, pattern: str) -> Vocabulary:
     return _loaded[key]
 
 
+def token_bytes(data: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(data).items()}
+
+
 def _shipped(df: DataFrame, path: str):
     """The vocabulary file (below a megabyte) for the workers, which need not have the path."""
     with open(path, "rb") as file:
@@ -239,7 +246,7 @@ def _shipped(df: DataFrame, path: str):
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", packed: bool = False) -> DataFrame:
     """Add the token ids of ``text``: ``array<int>``, or ``packed`` as little-endian unsigned 32 bits."""
-    shipped = _shipped(df, path)
+    shipped = _shipped(small_batches(df), path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = vocabulary(shipped.value, pattern)
@@ -251,14 +258,14 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     return df.withColumn(out, F.pandas_udf(run, kind)(F.col(f"`{text}`")))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that ids stand for, packed or in an array; null ids stand for none."""
-    shipped = _shipped(df, path)
+    shipped = _shipped(small_batches(df), path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = vocabulary(shipped.value, pattern)
+        known = token_bytes(shipped.value)
         for rows in batches:
-            yield pd.Series([known.decode(unpack(r)) for r in rows], dtype=object)
+            yield pd.Series([b"".join(map(known.__getitem__, unpack(r))) for r in rows], dtype=object)
 
     return df.withColumn(out, F.pandas_udf(run, T.BinaryType())(F.col(f"`{ids}`")))
 

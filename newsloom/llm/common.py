@@ -34,3 +34,12 @@ def unpacked(df: DataFrame, struct: str, *fields: str) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c != struct]
     named = [f.split(" as ") for f in fields]
     return df.select(*kept, *[F.col(struct)[n[0]].alias(n[-1]) for n in named])
+
+
+def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """Lower the session's bounds on the batches sent to Python workers, which hold a batch and its results."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df

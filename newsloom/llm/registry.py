@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, mixing, quality
+from newsloom.llm import bpe, minhash, mixing, quality, secrets, topk, warc
 from newsloom.llm.common import table
+from newsloom.session import shared_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -21,17 +27,45 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, packed=True)
-    decoded = bpe.decode(encoded.drop("text"), VOCABULARY, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded.drop("text"), VOCABULARY)
     return decoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, revisits by their headers alone."""
+    path = shared_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    payload = F.coalesce("payload", F.lit(b""))
+    full = warc.read_warc(spark, path, "page_id long, record_type string, refers_to long, payload_digest string, payload binary")
+    full = full.filter(F.col("record_type") == "response").select(
+        "page_id", F.octet_length(payload).cast("long").alias("payload_bytes"),
+        warc.digest_of(payload).alias("payload_digest"), "record_type", "refers_to",
+    )
+    heads = warc.read_warc(
+        spark, path, "page_id long, payload_length long, payload_digest string, record_type string, refers_to long"
+    ).filter(F.col("record_type") == "revisit")
+    bare = F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest")
+    return full.unionByName(
+        heads.select("page_id", F.col("payload_length").alias("payload_bytes"), bare, "record_type", "refers_to")
+    )
+
+
+def op6_primed_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
+
+
 def op7_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op10_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return own
