@@ -39,6 +39,8 @@ from newsloom.session import written_table
 LEAST_PAGES = 3  # different pages of a host from which on a template is deduced
 MAIN_SHARE = 0.7  # of the open text that the main slot holds
 
+DEEPEST = 64  # containers around a container from which on it is no slot of its own
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCK = frozenset(
@@ -167,7 +169,7 @@ def blocks(page: str | None) -> Iterator[Block]:
         open_names[name] = open_names.get(name, 0) + 1
         depth_out += out
         depth_link += name == "a"
-        if name in CONTAINERS:
+        if name in CONTAINERS and len(containers) < DEEPEST:
             path = token(path, name, attrs.get("class", ""), attrs.get("id", ""))
             containers = (*containers, path)
     if block := flush():
@@ -245,7 +247,9 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
     """Add the main text of each page."""
     found = templates(pages, url, page)
     sides = found.select("_host", F.col("texts").alias("_texts"), F.col("slot").cast("string").alias("_slot"))
-    joined = join_checked(pages.withColumn("_host", host_of(url)), sides, "_host", "left", bound=measured(found))
+    whole = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    aside = pages.select(host_of(url).alias("_host"), F.col(f"`{page}`").alias("_page"), whole.alias("_row"))
+    joined = join_checked(aside, sides, "_host", "left", bound=measured(found))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for rows, texts, slots in batches:
@@ -257,8 +261,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
                 dtype=object,
             )
 
-    made = joined.withColumn("_main", F.pandas_udf(run, "string")(F.col(f"`{page}`"), F.col("_texts"), F.col("_slot")))
-    return made.withColumn(out, F.col("_main")).drop("_host", "_texts", "_slot", "_main")
+    made = joined.select("_row", F.pandas_udf(run, "string")("_page", "_texts", "_slot").alias("_main"))
+    return made.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != out], F.col("_main").alias(out))
 
 
 def measured(found: DataFrame) -> DataFrame:

@@ -114,8 +114,12 @@ def copies(df: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     The verdict is the same for all rows with one id and source, so it is found once per such pair.
     """
     source = settings.get("source", "source")
-    taken = _per_pair(df, mix_with_source(df, id_col=id_col, **settings), id_col, source)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*df.columns)
+    chosen = mix_with_source(df, id_col=id_col, **settings).filter(F.col("copies") > 0)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{source}`").alias("_s"), whole)
+    chosen = chosen.select(F.col("_pair.i").alias("_ci"), F.col("_pair.s").alias("_cs"), F.col("copies").cast("int").alias("_n"))
+    taken = rows.join(chosen, F.col("_i").eqNullSafe(F.col("_ci")) & F.col("_s").eqNullSafe(F.col("_cs")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
 
 
 def mix_with_source(df: DataFrame, **settings) -> DataFrame:
@@ -127,9 +131,3 @@ def mix_with_source(df: DataFrame, **settings) -> DataFrame:
     )
     rest = {k: v for k, v in settings.items() if k not in ("id_col", "source", "text")}
     return mix(tagged, id_col="_pair", source="_of", text="_words", **rest).select("_pair", "copies").distinct()
-
-
-def _per_pair(df: DataFrame, taken: DataFrame, id_col: str, source: str) -> DataFrame:
-    chosen = taken.filter(F.col("copies") > 0).select(F.col("_pair.i").alias("_i"), F.col("_pair.s").alias("_s"), "copies")
-    at = df[id_col].eqNullSafe(chosen["_i"]) & df[source].eqNullSafe(chosen["_s"])
-    return df.join(chosen, at)

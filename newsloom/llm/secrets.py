@@ -68,6 +68,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def mixed_characters(candidate: str) -> bool:
+    """Whether it can be a key: digits beside letters, or a case that changes within; plain words are not."""
+    letters = re.sub(r"[^A-Za-z]", "", candidate)
+    if letters and re.search(r"\d", candidate):
+        return True
+    return len(re.findall(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])", letters)) >= 4
+
+
 def novelty(candidate: str, around: str, level: int) -> float:
     """Compressed bytes per byte of a candidate, after what stands around it."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -86,6 +94,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], rule: Novelty)
             continue
         if not SENSITIVE.search(text, max(0, start - rule.context), start):
             continue
+        if not mixed_characters(m.group()):
+            continue
         around = text[max(0, start - rule.around) : start] + text[end : end + rule.around]
         if novelty(m.group(), around, rule.level) >= rule.share:
             found.append((start, 3, end, start))

@@ -72,7 +72,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - logit[:, None], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, features: np.ndarray, steps: int = 400, decay: float = 1e-4) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, features: np.ndarray, steps: int = 800, decay: float = 1e-5) -> Ordinal:
     """Maximum likelihood by gradient steps; rows hold places in ``features``."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     places = np.concatenate(rows).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
@@ -136,9 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str
     features = np.array([r["f"] for r in picked], np.int64)
     positive = {r["f"] for r in picked if r["z"] > 0}
     place = {int(f): i for i, f in enumerate(features)}
-    wanted = F.array(*[F.lit(int(f)) for f in features]) if len(features) <= 64 else None
-    kept = rows.select("_toxic", F.array_intersect("features", wanted) if wanted is not None else F.col("features")) if len(features) else rows
-    known = df_places(kept.toDF("_toxic", "features"), set(place))
+    known = cut_down(rows, set(place))
     found, toxic_flags, marks_of = [], [], []
     for row in known.collect():  # the bounded sample, cut down to the chosen features
         found.append(np.array([place[f] for f in row["features"]], np.int64))
@@ -149,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str
     return fit(found, grades, features)
 
 
-def df_places(rows: DataFrame, wanted: set[int]) -> DataFrame:
+def cut_down(rows: DataFrame, wanted: set[int]) -> DataFrame:
     """Rows with their features cut down to ``wanted`` (at most ``KEPT`` numbers, which travel with the tasks)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -185,15 +183,8 @@ def grade(
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with their columns."""
-    columns = docs.columns
-    return grade(docs, labels, id_col, text, **settings).filter(~F.col("toxic")).select(*columns) if not {
-        "p_toxic", "p_severe", "expected_severity", "grade", "toxic"
-    } & set(columns) else _clean_renamed(docs, labels, id_col, text, **settings)
-
-
-def _clean_renamed(docs: DataFrame, labels: DataFrame, id_col: str, text: str, **settings) -> DataFrame:
-    """As ``clean`` for documents that have columns of the same names: those are set aside meanwhile."""
-    aside = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    named = labels.withColumnRenamed(id_col, "_i")
+    """The rows of ``docs`` that are not toxic, with their columns, whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    aside = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text}`").alias("_t"), whole.alias("_row"))
+    named = labels.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{settings.pop('label', 'toxic')}`").alias("toxic"))
     return grade(aside, named, "_i", "_t", **settings).filter(~F.col("toxic")).select("_row.*")
