@@ -7,12 +7,29 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-# Elements without content, and elements closed by the next one of their kind.
+# Fixed values, as HTML defines them: elements without content; those whose start ends an open paragraph; those that
+# end an open element of their kind, up to the element that bounds them; elements that a search for an open paragraph
+# does not leave.
 VOID = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
 )
-SELF_CLOSING_KIN = frozenset(("p", "li", "option"))
-LISTS = frozenset(("ul", "ol", "menu", "select"))
+END_PARAGRAPH = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split()
+)
+ENDED_BY_KIN = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "option": (("option",), ("select", "datalist")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("table",)),
+    "th": (("td", "th"), ("table",)),
+    "tr": (("tr",), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot"), ("table",)),
+    "thead": (("thead", "tbody", "tfoot"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
+}
+BOUNDS = ("table", "td", "th", "caption", "button", "object", "template", "marquee", "applet")
 
 
 def parse_selector(selector: str) -> tuple[str | None, str | None]:
@@ -21,11 +38,15 @@ def parse_selector(selector: str) -> tuple[str | None, str | None]:
 
 
 class ElementWalk(HTMLParser):
-    """Tracks open elements; subclasses react when an element opens, closes or holds text."""
+    """Tracks open elements; subclasses react when an element opens, closes or holds text.
+
+    The places of the open elements are kept by name, so no tag makes the walk search the open ones.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, object]] = []
+        self.places: dict[str, list[int]] = {}
 
     def opened(self, tag, attrs):
         """Return a mark to be handed to ``closed`` when this element ends."""
@@ -38,31 +59,40 @@ class ElementWalk(HTMLParser):
         self.close()
         self._close_down_to(0)
 
+    def parse_html_declaration(self, i):
+        """A marked section is a comment up to the next ``>``, as in browsers; the parser may raise on one."""
+        if self.rawdata.startswith("<![", i):
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
+
+    def _last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def _close_down_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            _, mark = self.open.pop()
+            tag, mark = self.open.pop()
+            self.places[tag].pop()
             if mark is not None:
                 self.closed(mark)
 
     def handle_starttag(self, tag, attrs):
-        if tag in SELF_CLOSING_KIN:
-            for depth in range(len(self.open) - 1, -1, -1):
-                name = self.open[depth][0]
-                if name == tag:
-                    self._close_down_to(depth)
-                if name == tag or name in LISTS:
-                    break
+        if tag in END_PARAGRAPH and self._last(("p",)) > self._last(BOUNDS):
+            self._close_down_to(self._last(("p",)))
+        if tag in ENDED_BY_KIN:
+            kin, bounds = ENDED_BY_KIN[tag]
+            if (place := self._last(kin)) > self._last(bounds):
+                self._close_down_to(place)
         mark = self.opened(tag, dict(reversed(attrs)))
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, mark))
         elif mark is not None:
             self.closed(mark)
 
     def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self._close_down_to(depth)
-                return
+        if self.places.get(tag):
+            self._close_down_to(self.places[tag][-1])
 
 
 class FirstElements(ElementWalk):
@@ -107,34 +137,38 @@ class FirstLinks(ElementWalk):
         super().__init__()
         self.container = container
         self.links: list[list] = []  # [found, href]
-        self.waiting: list[int] = []
+        self.waiting: set[int] = set()
 
     def opened(self, tag, attrs):
         if tag == "a":
             for i in self.waiting:
                 self.links[i] = [True, attrs.get("href")]
-            self.waiting = []
+            self.waiting = set()
         if tag == self.container:
             self.links.append([False, None])
-            self.waiting.append(len(self.links) - 1)
+            self.waiting.add(len(self.links) - 1)
             return len(self.links) - 1
 
     def closed(self, mark):
-        if mark in self.waiting:
-            self.waiting.remove(mark)
+        self.waiting.discard(mark)
 
 
 def first_elements(html: str | None, fields: list[tuple[str, str | None]]) -> list[str | None]:
-    if html is None:
-        return [None] * len(fields)
+    """Values of the fields; all null for a page that is null or that the parser gives up on."""
     page = FirstElements(fields)
-    page.walk(html)
-    return page.values
+    return page.values if html is not None and _walked(page, html) else [None] * len(fields)
 
 
 def first_links(html: str | None, container: str) -> list[str | None]:
-    if html is None:
-        return []
+    """Addresses found; none for a page that is null or that the parser gives up on."""
     page = FirstLinks(container)
-    page.walk(html)
-    return [href for found, href in page.links if found]
+    return [href for found, href in page.links if found] if html is not None and _walked(page, html) else []
+
+
+def _walked(page: ElementWalk, html: str) -> bool:
+    """One page must not end a job: whatever the parser raises makes that page unreadable."""
+    try:
+        page.walk(html)
+    except (AssertionError, ValueError, RecursionError, NotImplementedError, IndexError):
+        return False
+    return True

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD_BOUNDARIES = r"(?:\pL[\pL\pM]*+(?:[.:·'’]\pL[\pL\pM]*+)*+|\pN++(?:[.,;'’]\pN++)*+|_)++"
 WORD_RUNS = r"[\pL\pN]+"
 
+# Word borders in patterns, which take no letter of a term away.
+BORDERS = (r"(^|[^\pL\pN_])", r"($|[^\pL\pN_])", r"\b")
+
 # Whitespace as Python's str.strip sees it.
 _LEADING = r"(?U)^[\s\x1c-\x1f]+"
 _TRAILING = r"(?U)[\s\x1c-\x1f]+\z"
@@ -28,14 +31,22 @@ def trim_both(text: Column) -> Column:
     return F.regexp_replace(trim_left(text), _TRAILING, "")
 
 
-def matches(text: Column, pattern: str, needles: Iterable[str] = ()) -> Column:
+def needles_of(pattern: str) -> list[str]:
+    """Plain strings of which every match contains one, if the pattern is an alternation of plain strings
+    with or without word borders; else none."""
+    for border in BORDERS:
+        pattern = pattern.replace(border, "")
+    return plain_terms(pattern.split("|"))
+
+
+def matches(text: Column, pattern: str) -> Column:
     """Regex search with Unicode word rules; null text does not match.
 
-    ``needles`` are plain strings of which every match contains at least one.  They are looked up
-    first, on the stored bytes, so most texts never reach the regex.
+    Plain strings of which every match contains one are looked up first, on the stored bytes, so most
+    texts never reach the regex.
     """
     found = text.rlike("(?U)" + pattern)
-    hints = [text.contains(needle) for needle in needles]
+    hints = [text.contains(needle) for needle in needles_of(pattern)]
     if hints:
         possible = hints[0]
         for hint in hints[1:]:
@@ -44,12 +55,11 @@ def matches(text: Column, pattern: str, needles: Iterable[str] = ()) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def matches_any(columns: Iterable[str], pattern: str, needles: Iterable[str] = ()) -> Column:
+def matches_any(columns: Iterable[str], pattern: str) -> Column:
     """True if any of the columns matches."""
-    needles = list(needles)
     found = F.lit(False)
     for name in columns:
-        found = found | matches(F.col(name), pattern, needles)
+        found = found | matches(F.col(name), pattern)
     return found
 
 
@@ -59,9 +69,9 @@ def any_of(terms: Iterable[str]) -> str:
 
 
 def plain_terms(terms: Iterable[str]) -> list[str]:
-    """The terms as needles if none of them uses regex syntax, else nothing."""
+    """The terms if all are plain and none is empty, else nothing."""
     terms = list(terms)
-    return [] if any(set(term) & set(r".^$*+?{}[]\|()") for term in terms) else terms
+    return [] if any(not term or set(term) & set(r".^$*+?{}[]\|()") for term in terms) else terms
 
 
 def word_tokens(text: Column, pattern: str = WORD_BOUNDARIES) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import null_safe_members
+from newsloom.operators.joins import fits_broadcast, null_safe_members, salted_join
 
 # Fixed value: the catch-all label.
 OTHER = "sonstiges"
@@ -62,9 +62,14 @@ def lump(df: DataFrame, top: DataFrame, label: str, out: str, other: str = OTHER
 def share_within(df: DataFrame, amount: str, parent: str, out: str = "percentage") -> DataFrame:
     """``amount`` as a share of its parent group, for reduced frames.
 
-    The totals are combined before they move and joined back, so a parent with very many rows is
-    not gathered in one task.
+    The totals are combined before they move.  If they are measured to be small they are broadcast, else a parent's rows
+    are spread over salted tasks, so a parent with very many rows is not gathered in one.
     """
-    totals = df.groupBy(F.col(parent).alias("_parent")).agg(F.sum(amount).alias("_total"))
-    joined = df.join(totals, df[parent].eqNullSafe(totals["_parent"]))
-    return joined.withColumn(out, F.col(amount) / F.col("_total")).drop("_parent", "_total")
+    key = F.coalesce(F.concat(F.lit("="), F.col(parent).cast("string")), F.lit(""))  # null is a group too
+    keyed = df.withColumn("_parent", key)
+    totals = keyed.groupBy("_parent").agg(F.sum(amount).alias("_total"))
+    if fits_broadcast(totals):
+        joined = keyed.join(F.broadcast(totals), "_parent")
+    else:
+        joined = salted_join(keyed, totals, "_parent", F.xxhash64(*df.columns))
+    return joined.withColumn(out, F.col(amount) / F.col("_total")).select(*df.columns, out)

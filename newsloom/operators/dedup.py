@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import BROADCAST_ROWS
+from newsloom.operators.joins import join_checked
 from newsloom.session import written_table
 
 KEYS = ("title", "subtitle")
@@ -40,16 +40,9 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str] = KEYS, id_col: str = "i
 
 
 def keep_ids(df: DataFrame, kept: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows whose id is in ``kept``.
-
-    When few rows go, their ids are broadcast and the wide rows never move; otherwise both sides
-    shuffle by id, which is unique and thus even.
-    """
-    leaving = df.count() - kept.count()
-    if leaving <= BROADCAST_ROWS:
-        gone = df.select(id_col).join(kept, id_col, "left_anti")
-        return df.join(F.broadcast(gone), id_col, "left_anti")
-    return df.join(kept, id_col, "left_semi")
+    """Rows whose id is in ``kept``; a row without id is in no list and stays, as after a DELETE by id."""
+    gone = df.select(id_col).join(kept, id_col, "left_anti").filter(F.col(id_col).isNotNull())
+    return delete_ids(df, written_table(gone, "gone"), id_col)
 
 
 def dedup_second_oldest(
@@ -68,10 +61,12 @@ def delete_oldest_duplicate(
 
 
 def delete_ids(df: DataFrame, doomed: DataFrame, id_col: str = "id") -> DataFrame:
-    """Remove the rows listed in ``doomed``."""
-    if doomed.count() <= BROADCAST_ROWS:
-        doomed = F.broadcast(doomed)
-    return df.join(doomed, id_col, "left_anti")
+    """Remove the rows listed in ``doomed``; rows without id stay.
+
+    Few ids (measured in rows and bytes) are broadcast and the wide rows never move; otherwise both sides shuffle by id,
+    which is unique and thus even.
+    """
+    return join_checked(df, doomed, id_col, "left_anti")
 
 
 def keep_oldest(df: DataFrame, keys: Sequence[str] = KEYS, id_col: str = "id") -> DataFrame:

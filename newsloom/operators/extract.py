@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from newsloom.functions import markup
 from newsloom.functions.dates import article_time
 from newsloom.functions.text import trim_both, trim_left
+from newsloom.session import small_batches
 
 # Workers get the helper with the function itself, wherever the driver was started.
 cloudpickle.register_pickle_by_value(markup)
@@ -50,7 +51,7 @@ def extract_links(pages: DataFrame, container: str = "article", keep: Sequence[s
         for html in batches:
             yield html.map(lambda page: markup.first_links(page, container))
 
-    found = pages.select(*keep, links.asNondeterministic()("html").alias("_links"))
+    found = small_batches(pages).select(*keep, links.asNondeterministic()("html").alias("_links"))
     return found.select(*keep, F.explode("_links").alias("url"))
 
 
@@ -68,7 +69,7 @@ def page_fields(pages: DataFrame, fields: Sequence[Field] = ARTICLE_FIELDS) -> D
 
     rest = [c for c in pages.columns if c != "html"]
     # marked so that a filter on the fields stays above the parse instead of repeating it
-    parsed = pages.select(*rest, read.asNondeterministic()("html").alias("_fields"))
+    parsed = small_batches(pages).select(*rest, read.asNondeterministic()("html").alias("_fields"))
     return parsed.select(
         *rest,
         *[

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,31 +22,33 @@ _DECIMALS = 9
 def group_quantiles(
     groups: DataFrame, value: str, weight: str | None = None, probs: Sequence[float] = QUANTILES
 ) -> DataFrame:
-    """One row ``low, high``: exact, linearly interpolated quantiles of a reduced frame.
+    """One row ``low, high, q``: exact, linearly interpolated quantiles of a reduced frame.
 
-    For frames of at most days x labels rows.  ``weight`` repeats a row that many times.
+    ``q`` has one value for each of ``probs``, ``low`` and ``high`` are its first and last.  All values meet in
+    one task, so this is for frames cut to a top-k list (days x k rows); others take ``exact_quantiles``.
+    ``weight`` repeats a row that many times.
     """
     frequency = [F.col(weight)] if weight else []
-    return groups.agg(
-        F.percentile(value, list(probs), *frequency).alias("_q")
-    ).select(
-        F.round(F.col("_q")[0], _DECIMALS).alias("low"),
-        F.round(F.col("_q")[1], _DECIMALS).alias("high"),
-    )
+    found = groups.agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), *frequency).alias("q"))
+    return with_ends(found.select(F.transform("q", lambda x: F.round(x, _DECIMALS)).alias("q")))
+
+
+def with_ends(quantiles: DataFrame) -> DataFrame:
+    return quantiles.select(F.get("q", F.lit(0)).alias("low"), F.element_at("q", -1).alias("high"), "q")
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float] = QUANTILES
+    df: DataFrame, value: str, weight: str | None = None, probs: Sequence[float] = QUANTILES
 ) -> DataFrame:
-    """As ``group_quantiles`` for frames of any size (one row per article).
+    """As ``group_quantiles`` for frames of any size (one row per article, or per day and free-text label).
 
     Distinct values are counted, written in range-partitioned slices and ranked by running sums
     inside each slice plus the size of the slices before it; only the rows at the wanted ranks
     (two per quantile) meet in one task.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n")
+    ).filter(F.col("n") > 0)
     sliced = written_table(
         counted.repartitionByRange("v").withColumn("slice", F.spark_partition_id()), "values"
     )
@@ -72,7 +76,7 @@ def exact_quantiles(
         at = (F.col("total") - 1) * F.lit(float(p))
         ends += [(F.floor(at), at), (F.ceil(at), at)]
     holds = [(F.col("first") <= rank) & (rank <= F.col("last")) for rank, _ in ends]
-    wanted = ranked.filter(holds[0] | holds[1] | holds[2] | holds[3])
+    wanted = ranked.filter(functools.reduce(operator.or_, holds))
     picked = wanted.agg(
         F.first("total").alias("total"),
         *[F.max(F.when(hold, F.col("v"))).alias(f"v{i}") for i, hold in enumerate(holds)],
@@ -83,7 +87,7 @@ def exact_quantiles(
         low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
         return F.round(low + (high - low) * (at - F.floor(at)), _DECIMALS)
 
-    return picked.select(between(0, probs[0]).alias("low"), between(1, probs[1]).alias("high"))
+    return with_ends(picked.select(F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q")))
 
 
 def bounded_thresholds(quantiles: DataFrame, floor: float) -> DataFrame:

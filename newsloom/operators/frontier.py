@@ -64,8 +64,8 @@ def new_entries(links: DataFrame, run_date: dt.date | None = None) -> DataFrame:
 
 
 def append_frontier(frontier: DataFrame, entries: DataFrame) -> DataFrame:
-    """Old rows, then new ones; columns by name, repeated addresses stay."""
-    return frontier.unionByName(entries, allowMissingColumns=True)
+    """Old rows, then new ones; repeated addresses stay.  Either may be the older form of addresses only."""
+    return as_frontier(frontier).unionByName(as_frontier(entries))
 
 
 def todo(frontier: DataFrame) -> DataFrame:
@@ -90,13 +90,12 @@ def pending(frontier: DataFrame, collected: DataFrame, base: str) -> DataFrame:
     return not_collected(usable, collected)
 
 
-def outcomes(read: DataFrame, attempted: DataFrame) -> DataFrame:
-    """One row per attempted address; it failed if its page is missing or was rejected."""
-    succeeded = read.filter("ok").select("url").distinct().withColumn("_ok", F.lit(True))
-    tried = attempted.select("url").distinct()
-    return tried.join(succeeded, "url", "left").select(
-        "url", F.col("_ok").isNull().alias("failed")
-    )
+def outcomes(read: DataFrame) -> DataFrame:
+    """One row per address whose page was read; it failed if every reading was rejected.
+
+    An address whose page is not stored yet has no outcome and stays to do.
+    """
+    return read.groupBy("url").agg((~F.max("ok")).alias("failed"))
 
 
 def apply_outcomes(frontier: DataFrame, results: DataFrame) -> DataFrame:

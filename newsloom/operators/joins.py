@@ -63,6 +63,15 @@ def salted_join(
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
+def with_prices(df: DataFrame, prices: DataFrame, day: str = "pubdate", date: str = "date") -> DataFrame:
+    """Rows on days with a price, next to it.  A day may hold any share of the rows: prices are broadcast once
+    measured to be small, else each day is spread over salted tasks."""
+    named = prices.withColumnRenamed(date, day)
+    if fits_broadcast(named):
+        return df.join(F.broadcast(named), day).select(*df.columns, *[c for c in named.columns if c != day])
+    return salted_join(df, named, day, F.xxhash64(*df.columns)).select(*df.columns, *[c for c in named.columns if c != day])
+
+
 def repeat_rows(df: DataFrame, times: str, chunk: int = REPEAT_CHUNK) -> DataFrame:
     """Each row ``times`` times, without the count column.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,10 @@ from newsloom.operators.joins import join_checked
 Scorer = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
-def logits_of(df: DataFrame, load: Callable[[], Scorer], text: str = "body", out: str = "logits") -> DataFrame:
-    """Class scores per row.
+def logits_of(
+    df: DataFrame, load: Callable[[], Scorer], text: str = "body", out: str = "logits", where: Column | None = None
+) -> DataFrame:
+    """Class scores per row, null where ``where`` does not hold.
 
     ``load`` runs once per task and returns the scorer; the scorer brings its own tokenizer and
     input limit.  Only the text column goes to Python.
@@ -27,10 +29,17 @@ def logits_of(df: DataFrame, load: Callable[[], Scorer], text: str = "body", out
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = load()
         for texts in batches:
-            yield pd.Series([list(map(float, row)) for row in scorer(texts.fillna("").tolist())], dtype="object")
+            rows = iter(scorer(texts.dropna().tolist()))
+            yield pd.Series([None if text is None else list(map(float, next(rows))) for text in texts], dtype="object")
 
     # marked so that a filter on the result never runs the model twice
-    return df.withColumn(out, score.asNondeterministic()(F.col(text)))
+    return df.withColumn(out, score.asNondeterministic()(where_text(text, where)))
+
+
+def where_text(text: str, where: Column | None) -> Column:
+    """What the scorer gets: the text, "" for null; null, which it never sees, where it is not asked."""
+    given = F.coalesce(F.col(text), F.lit(""))
+    return given if where is None else F.when(where, given)
 
 
 def add_column_if_absent(df: DataFrame, column: str, kind: str = "double") -> DataFrame:
@@ -52,21 +61,19 @@ def score_missing(
 ) -> DataFrame:
     """Fill missing sentiment from the model and leave the rest alone.
 
-    Both halves filter on the same column at the scan and are put together again, so no row is
-    shuffled to merge the new values.
+    One pass: the model gets the texts of unscored rows only, and no row is shuffled to merge the new values.
     """
     full = add_column_if_absent(df, column)
-    known = full.filter(F.col(column).isNotNull())
-    fresh = logits_of(unscored(full, column), load, text, "_logits")
-    scored = fresh.withColumn(column, class_label(softmax(F.col("_logits")), labels))
-    return known.unionByName(scored.drop("_logits"))
+    fresh = logits_of(full, load, text, "_logits", F.col(column).isNull())
+    label = F.when(F.col("_logits").isNotNull(), class_label(softmax(F.col("_logits")), labels))
+    return fresh.withColumn(column, F.coalesce(F.col(column), label)).drop("_logits")
 
 
 def update_by_key(
     df: DataFrame, updates: DataFrame, key: str = "id", column: str = "sentiment"
 ) -> DataFrame:
-    """Set ``column`` where ``updates`` has the key; ``updates`` holds each key once."""
-    values = updates.select(key, F.col(column).alias("_new"), F.lit(True).alias("_hit"))
+    """Set ``column`` where ``updates`` has the key; of several updates of a key the largest value counts."""
+    values = updates.groupBy(key).agg(F.max(column).alias("_new"), F.lit(True).alias("_hit"))
     joined = join_checked(df, values, key, "left")
     return joined.withColumn(
         column, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(column))

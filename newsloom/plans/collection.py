@@ -37,16 +37,16 @@ def collect_articles(
     base: str,
     fields: Sequence[extract.Field] = extract.ARTICLE_FIELDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """New article rows (without keys) and the frontier with outcomes.
+    """New article rows (without keys) and the frontier with outcomes; runs jobs at once.
 
     ``pages`` holds each address once, relative to ``base``.  Every pending page is parsed once
-    and stored; an address that is pending twice gives two article rows.
+    and stored; an address that is pending twice gives two article rows, one whose page is not stored stays pending.
     """
     waiting = frontier.pending(frontier.todo(known), collected, base)
     wanted = written_table(waiting.groupBy("url").count(), "wanted")
     needed = join_checked(pages.select("url", "html"), wanted, "url")
     read = written_table(extract.read_articles(needed, fields), "read")
-    results = written_table(frontier.outcomes(read, wanted), "outcomes")
+    results = written_table(frontier.outcomes(read), "outcomes")
     found = extract.accepted(read)
     again = repeat_rows(found.filter(F.col("count") > 1), "count")
     new = found.filter(F.col("count") == 1).drop("count").unionByName(again)

@@ -11,16 +11,6 @@ PARTY_TERMS = ("ÖVP", "Österreichische Volkspartei", "Volkspartei")
 BANK_PATTERN = r"\bOeNB\b|Österreichische Nationalbank"
 PERSON_PATTERN = r"\bSebastian Kurz"
 MARKET_PATTERN = r"\bBörse\b|Aktien\b|Anleihen\b|Kapitalmarkt\b|ATX\b|Rezession"
-# plain strings of which every match of the pattern contains one
-PARTY_NEEDLES = {
-    "oevp": ("ÖVP", "Österreichische Volkspartei"),
-    "spoe": ("SPÖ", "Sozialdemokratische Partei Österreichs"),
-    "fpoe": ("FPÖ", "Freiheitliche Partei Österreichs"),
-    "gruene": ("Grüne",),
-}
-BANK_NEEDLES = ("OeNB", "Österreichische Nationalbank")
-PERSON_NEEDLES = ("Sebastian Kurz",)
-MARKET_NEEDLES = ("Börse", "Aktien", "Anleihen", "Kapitalmarkt", "ATX", "Rezession")
 AGENCY_ORIGINS = ("", "Redaktion", "APA", "AP", "APA, dpa", "Reuters", "dpa")
 
 TOP_TOPICS = 10

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import WORD_BOUNDARIES, any_of, matches_any, plain_terms
+from newsloom.functions.text import WORD_BOUNDARIES, any_of, matches_any
 from newsloom.operators.counts import keep_top, lump, named_only, share_within, top_k
 from newsloom.operators.extremes import classify_extremes
 from newsloom.operators.joins import fits_broadcast, repeat_rows
@@ -48,13 +48,10 @@ def exclusive_tag_sentiment(
     names: Mapping[str, str] = presets.PARTY_NAMES,
     floor: float = 1,
     out: str = "party",
-    needles: Mapping[str, Sequence[str]] | None = None,
     word_pattern: str = WORD_BOUNDARIES,
 ) -> DataFrame:
     """Sentiment per day and party over articles that name exactly one party."""
-    if patterns == presets.PARTY_PATTERNS:
-        needles = presets.PARTY_NEEDLES
-    tagged = exclusive_tag(tag(articles, patterns, needles=needles), names, out)
+    tagged = exclusive_tag(tag(articles, patterns), names, out)
     daily = written_table(daily_scores(tagged, lexicon, out, word_pattern), "daily")
     groups = with_constant_share(daily)
     return classify_extremes(groups, "sum_sentiment", floor)
@@ -86,29 +83,23 @@ def term_sentiment_by_kicker(
     floor: float = 1,
 ) -> DataFrame:
     """Articles whose body contains one of the terms, by topic."""
-    where = matches_any(["body"], any_of(terms), plain_terms(terms))
+    where = matches_any(["body"], any_of(terms))
     return tagged_sentiment(articles, lexicon, where, "kicker", k, floor)
 
 
 def institution_sentiment_by_author(
     articles: DataFrame, lexicon: DataFrame, pattern: str = presets.BANK_PATTERN, k: int = presets.TOP_SENTIMENT,
-    needles: Sequence[str] = (),
 ) -> DataFrame:
     """Articles that name an institution anywhere in body, title or subtitle, by author."""
-    if pattern == presets.BANK_PATTERN:
-        needles = presets.BANK_NEEDLES
-    where = matches_any(["body", "title", "subtitle"], pattern, needles)
+    where = matches_any(["body", "title", "subtitle"], pattern)
     return tagged_sentiment(articles, lexicon, where, "origins", k)
 
 
 def person_sentiment_by_kicker(
     articles: DataFrame, lexicon: DataFrame, pattern: str = presets.PERSON_PATTERN, k: int = presets.TOP_SENTIMENT,
-    needles: Sequence[str] = (),
 ) -> DataFrame:
     """Articles that name a person anywhere, by topic; blank topics are left out."""
-    if pattern == presets.PERSON_PATTERN:
-        needles = presets.PERSON_NEEDLES
-    where = matches_any(["body", "title", "subtitle"], pattern, needles)
+    where = matches_any(["body", "title", "subtitle"], pattern)
     return tagged_sentiment(articles, lexicon, where, "kicker", k, drop_blank=True)
 
 
@@ -121,7 +112,6 @@ def market_articles_with_index(
     floor: float = 0,
     out: str = "new_kicker",
     price: str = "atx",
-    needles: Sequence[str] = (),
     word_pattern: str = WORD_BOUNDARIES,
 ) -> DataFrame:
     """One row per market article on a trading day: the values of its day and topic, and the price.
@@ -129,9 +119,8 @@ def market_articles_with_index(
     Days without a price leave before any text is split into words.  Quantiles weigh each group
     by its articles, as if taken over the article rows; incomplete rows are dropped after them.
     """
-    if pattern == presets.MARKET_PATTERN:
-        needles = presets.MARKET_NEEDLES
-    market = articles.filter(matches_any(["body"], pattern, needles))
+    market = articles.filter(matches_any(["body"], pattern))
+    prices = written_table(prices, "prices")  # usually an aggregate; measured, listed and joined from here
     trading = prices.select(F.col("date").alias("pubdate")).distinct()
     if fits_broadcast(prices):
         market = market.join(F.broadcast(trading), "pubdate", "left_semi")

@@ -329,9 +329,26 @@ def oracle_sql() -> dict[str, str]:
             """select * from frontier
                union all select url, date '2024-02-03', cast(0 as integer) from page_links""",
         ),
+        "csv_mixed_layouts": _with(["frontier"], "select * from frontier union all select url, null, null from frontier"),
+        "feather_mixed_columns": _with(["frontier"], "select * from frontier union all select url, null, null from frontier"),
+        "versioned_add_column": _with(
+            a, "select id, title, cast(toxic as double) as sentiment from articles left join labels on doc_id = id"
+        ),
+        "version_without_rows": _with(a, "select id, title from articles where false"),
+        "update_one_month": _with(
+            a,
+            """select id, case when month = '1995-03' then cast(id % 7 as double) end as sentiment, month
+               from (select id, strftime(pubdate, '%Y-%m') as month from articles) where month <> '1995-03' or id % 7 <> 0""",
+        ),
+        "stored_time_parse": """
+            select event_id, case when event_id % 5 <> 0 then date_trunc('second', ts) end as pubdate from events""",
+        "frontier_dates_fixed": """
+            select cast(d as date) as date, concat('https://news.example/frontpage/', strftime(d, '%Y/%m/%d')) as url
+            from generate_series(timestamp '2023-12-21', timestamp '2024-03-16', interval 1 day) as t(d)
+            where cast(d as date) not in (select cast(ts as date) from events)""",
         "older_frontier_append": _with(
             ["frontier", "collected"],
-            "select * from frontier union all select url, cast(null as date), cast(null as integer) from collected",
+            "select * from frontier union all select url, cast(null as date), 0 from collected",
         ),
         "front_page_urls": _with(
             a,
@@ -360,12 +377,10 @@ def oracle_sql() -> dict[str, str]:
                    round(exp(b - m) / (exp(a - m) + exp(b - m) + exp(c - m)), 6) as p1,
                    round(exp(c - m) / (exp(a - m) + exp(b - m) + exp(c - m)), 6) as p2
             from (select *, greatest(a, b, c) as m from
-                  (select vec_id, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b,
-                          cast(embedding[3] as double) as c from embeddings))""",
+                  (select vec_id, round(list_sum([cast(x as double) for x, i in embedding if (i - 1) % 3 = 0]), 9) as a, round(list_sum([cast(x as double) for x, i in embedding if (i - 1) % 3 = 1]), 9) as b, round(list_sum([cast(x as double) for x, i in embedding if (i - 1) % 3 = 2]), 9) as c from embeddings))""",
         "softmax_label": """
-            select vec_id, cast(case when embedding[2] >= greatest(embedding[1], embedding[3]) then 1
-                                     when embedding[3] >= greatest(embedding[1], embedding[2]) then -1
-                                     else 0 end as double) as sentiment from embeddings""",
+            select vec_id, cast(case when b >= greatest(a, c) then 1 when c >= greatest(a, b) then -1 else 0 end as double) as sentiment
+            from (select vec_id, round(list_sum([cast(x as double) for x, i in embedding if (i - 1) % 3 = 0]), 9) as a, round(list_sum([cast(x as double) for x, i in embedding if (i - 1) % 3 = 1]), 9) as b, round(list_sum([cast(x as double) for x, i in embedding if (i - 1) % 3 = 2]), 9) as c from embeddings)""",
         "model_input_words": _with(
             a,
             f"""select id, cast(len(tokens) as integer) as n_tokens,
@@ -431,11 +446,7 @@ def oracle_sql() -> dict[str, str]:
                       cast(case when not waiting then 0 when ok then 1 else 2 end as integer) as downloaded
                from (select url, id not in (select doc_id from labels) as waiting,
                             subtitle is not null and pubdate is not null as ok from markup)
-               union all
-               select case when url in (select url from frontier where downloaded = 0 and not contains(url, '://'))
-                           then null else url end, datum,
-                      case when downloaded = 0 and not contains(url, '://') then 2 else downloaded end
-               from frontier""",
+               union all select * from frontier""",
         ),
         "frontier_outcome": _with(["updated"], "select * from updated"),
         "score_missing_merge": _with(

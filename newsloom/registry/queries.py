@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions import dates, scores, text
 from newsloom.operators import counts, dedup, extract, extremes, frontier, scoring, sentiment, tags
-from newsloom.operators.joins import repeat_rows
+from newsloom.operators.joins import repeat_rows, with_prices
 from newsloom.plans import sentiment as sentiment_plans
 from newsloom.plans import collection, trends
 from newsloom.registry import scorer, views
@@ -40,7 +40,6 @@ PATTERNS = {
     "english": word("with"),
     "other": f"{word('été')}|{word('para')}",
 }
-NEEDLES = {"german": ["für"], "french": ["les"], "english": ["with"], "other": ["été", "para"]}
 NAMES = {"german": "DE", "french": "FR", "english": "EN", "other": "XX"}
 TERMS = ("für", "les plus", "les")
 THREE_COLUMNS = ("body", "title", "subtitle")
@@ -99,6 +98,65 @@ def feather_roundtrip(spark, sf):
     return feather.read_feather(spark, path)
 
 
+@query
+def csv_mixed_layouts(spark, sf):
+    """Files with an index column and files with the full header in one folder."""
+    path, table = shared_path(spark, "mixed-csv"), views.frontier(spark, sf)
+    sinks.write_csv(table.select("url", "datum", "downloaded"), path)
+    older = table.select(F.xxhash64("url").alias("index"), "url")
+    older.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return tables.read_csv(spark, path, schemas.FRONTIER)
+
+
+@query
+def feather_mixed_columns(spark, sf):
+    """Files of different columns, some in a subfolder."""
+    path, table = shared_path(spark, "mixed-feather"), views.frontier(spark, sf)
+    feather.write_feather(table.select("url"), path)
+    feather.write_feather(table, f"{path}/older")
+    return feather.read_feather(spark, path).select("url", "datum", "downloaded")
+
+
+@query
+def versioned_add_column(spark, sf):
+    """A version with a column that the one before lacks."""
+    root = shared_path(spark, "wider")
+    sinks.write_version(views.articles(spark, sf).select("id", "title"), root, 1)
+    wider = scoring.add_column_if_absent(sinks.read_latest(spark, root), "sentiment")
+    labels = views.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("double").alias("sentiment"))
+    sinks.write_version(scoring.update_by_key(wider, labels), root, 2)
+    return sinks.read_latest(spark, root)
+
+
+@query
+def version_without_rows(spark, sf):
+    """After all rows are deleted the newest version is empty; older rows do not come back."""
+    root = shared_path(spark, "emptied")
+    sinks.write_version(views.articles(spark, sf).select("id", "title"), root, 1)
+    stored = sinks.read_latest(spark, root)
+    sinks.write_version(dedup.delete_ids(stored, stored.select("id")), root, 2)
+    return sinks.read_latest(spark, root)
+
+
+@query
+def update_one_month(spark, sf):
+    """Update and delete by key in a table partitioned by month; the other months' files stay as they are."""
+    name = "newsloom_" + shared_path(spark, "t").rsplit("-", 1)[1]
+    base = views.articles(spark, sf).select("id", F.lit(None).cast("double").alias("sentiment"), F.date_format("pubdate", "yyyy-MM").alias("month"))
+    sinks.create_if_absent(spark, name, where := shared_path(spark, "months"), base.schema, ["month"])
+    base.write.insertInto(name)
+    changes = base.filter(F.col("month") == "1995-03").select("id", "month", (F.col("id") % 7).cast("double").alias("sentiment"))
+
+    def change(rows, new):
+        kept = dedup.delete_ids(rows, new.filter(F.col("sentiment") == 0).select("id"))
+        return scoring.update_by_key(kept, new.select("id", "sentiment"))
+
+    sinks.rewrite_partitions(spark, name, changes, "month", change)
+    whole = tables.read_parquet(spark, where)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    return whole.select("id", "sentiment", F.col("month").cast("string").alias("month"))
+
+
 @query
 def lexicon_load(spark, sf):
     path = shared_path(spark, "lexicon-csv")
@@ -197,12 +255,12 @@ def frontier_links(spark, sf):
 
 @query
 def page_fields(spark, sf):
-    pages = tables.spread(views.pages(spark, sf), "page_id")
+    pages = views.dealt(views.pages(spark, sf), "page_id")
     return extract.accepted(extract.read_articles(pages, PAGE_FIELDS))
 
 
 def _read_markup(spark, sf):
-    return extract.read_articles(tables.spread(views.article_markup(spark, sf), "id"))
+    return extract.read_articles(views.dealt(views.article_markup(spark, sf), "id"))
 
 
 @query
@@ -225,6 +283,13 @@ def pubdate_parse(spark, sf):
     return _read_markup(spark, sf).select("id", "pubdate")
 
 
+@query
+def stored_time_parse(spark, sf):
+    """Times kept as text, read back; those of the page format are not of this form."""
+    kept = F.when(F.col("event_id") % 5 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return views.table(spark, sf, "events").select("event_id", dates.stored_time(kept).alias("pubdate"))
+
+
 # ---- projections
 
 
@@ -246,7 +311,7 @@ def one_column_frame(spark, sf):
 
 @query
 def tag_names(spark, sf):
-    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS, needles=NEEDLES)
+    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS)
     return flagged.select("id", tags.first_label(NAMES).alias("label"))
 
 
@@ -364,8 +429,7 @@ def lexicon_hits(spark, sf):
 @query
 def articles_with_prices(spark, sf):
     base = views.articles(spark, sf).select("id", "pubdate", "kicker")
-    prices = views.prices(spark, sf)
-    return base.join(prices, base["pubdate"] == prices["date"]).drop("date")
+    return with_prices(base, views.prices(spark, sf))
 
 
 @query
@@ -403,14 +467,13 @@ def _label_scores(spark, sf, label="kicker"):
 
 @query
 def group_quantiles(spark, sf):
-    return extremes.group_quantiles(_label_scores(spark, sf), "sum_sentiment")
+    return extremes.exact_quantiles(_label_scores(spark, sf), "sum_sentiment").drop("q")
 
 
 @query
 def bounded_thresholds(spark, sf):
-    return extremes.bounded_thresholds(
-        extremes.group_quantiles(_label_scores(spark, sf), "sum_sentiment", weight="n"), 1
-    )
+    """Thresholds over all days and topics, each weighing as many times as it has articles."""
+    return extremes.bounded_thresholds(extremes.exact_quantiles(_label_scores(spark, sf), "sum_sentiment", weight="n"), 1)
 
 
 @query
@@ -481,7 +544,7 @@ def frontier_append(spark, sf):
 
 @query
 def older_frontier_append(spark, sf):
-    """A frontier of addresses only next to the full form: missing columns become null."""
+    """A frontier of addresses only next to the full form: no day, nothing downloaded yet."""
     links = views.stored_links(spark, sf)
     return frontier.append_frontier(views.frontier(spark, sf, links), views.collected(links))
 
@@ -541,8 +604,13 @@ def rounded_values(spark, sf):
 
 
 def _logits(spark, sf):
-    first = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    return views.table(spark, sf, "embeddings").select("vec_id", first.alias("logits"))
+    """Three class scores from whole vectors: the sums of every third entry, rounded against float order."""
+
+    def third(k: int):
+        own = F.filter("embedding", lambda x, i: i % 3 == k)
+        return F.round(F.aggregate(own, F.lit(0.0), lambda s, x: s + x.cast("double")), 9)
+
+    return views.table(spark, sf, "embeddings").select("vec_id", F.array(*[third(k) for k in range(3)]).alias("logits"))
 
 
 @query
@@ -581,7 +649,7 @@ def tag_columns(spark, sf):
 
 @query
 def exclusive_tags(spark, sf):
-    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS, needles=NEEDLES).select("id", *PATTERNS)
+    flagged = tags.tag(views.wide_articles(spark, sf), PATTERNS).select("id", *PATTERNS)
     return tags.exclusive_tag(flagged, NAMES)
 
 
@@ -607,7 +675,7 @@ def classify_extremes(spark, sf):
 
 @query
 def article_quantiles(spark, sf):
-    return extremes.exact_quantiles(views.table(spark, sf, "events"), "value")
+    return extremes.exact_quantiles(views.table(spark, sf, "events"), "value").drop("q")
 
 
 @query
@@ -627,6 +695,14 @@ def frontier_dates(spark, sf):
     return frontier.front_page_dates(_newest_event(spark, sf), today=TODAY, base="https://news.example/frontpage/")
 
 
+@query
+def frontier_dates_fixed(spark, sf):
+    """Days from a fixed start on that the events do not cover."""
+    days = frontier.dates_since(spark, dt.date(2023, 12, 20), today=TODAY, base="https://news.example/frontpage/")
+    seen = views.table(spark, sf, "events").select(dates.day(F.col("ts")).alias("date")).distinct()
+    return days.join(F.broadcast(seen), "date", "left_anti")  # a day a row: the calendar bounds it
+
+
 @query
 def frontier_dates_none(spark, sf):
     """Nothing to fetch when the newest day lies after today."""
@@ -659,7 +735,7 @@ def grown_frontier(spark, sf):
 
 def _collection_run(spark, sf):
     """All article pages are known, labelled ones are collected already, absolute ones are skipped."""
-    markup = tables.spread(views.article_markup(spark, sf), "id").select("url", "html")
+    markup = views.dealt(views.article_markup(spark, sf), "id").select("url", "html")
     known = frontier.new_entries(markup, RUN_DATE).unionByName(views.frontier(spark, sf))
     have = views.table(spark, sf, "labels").select(
         F.concat(F.lit("/story/"), F.col("doc_id").cast("string")).alias("url")
@@ -710,7 +786,7 @@ def author_daily_activity(spark, sf):
 @query
 def exclusive_tag_sentiment(spark, sf):
     return sentiment_plans.exclusive_tag_sentiment(
-        views.wide_articles(spark, sf), views.lexicon(spark), PATTERNS, NAMES, needles=NEEDLES
+        views.wide_articles(spark, sf), views.lexicon(spark), PATTERNS, NAMES
     )
 
 
@@ -722,7 +798,7 @@ def term_sentiment_by_kicker(spark, sf):
 @query
 def multi_column_tag_by_origin(spark, sf):
     return sentiment_plans.institution_sentiment_by_author(
-        views.wide_articles(spark, sf), views.lexicon(spark), ANYWHERE, needles=["para", "les"]
+        views.wide_articles(spark, sf), views.lexicon(spark), ANYWHERE
     )
 
 
@@ -740,7 +816,6 @@ def market_articles_with_index(spark, sf):
         views.lexicon(spark),
         views.prices(spark, sf),
         MARKET,
-        needles=["und", "tion", "onte"],
     )
 
 

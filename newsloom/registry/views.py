@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The small given tables are single files with one row group; tables of several files stay as they are."""
+    return spread(df, key, df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split_part("text", F.lit("\n"), F.lit(1)), F.split_part("text", F.lit("\n"), F.lit(2))
     return table(spark, sf_dir, "documents").select(
@@ -50,8 +55,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows, spread over the cores when the file gives too few tasks for text work."""
-    return spread(articles(spark, sf_dir), "id")
+    """The same rows; those of a single file are dealt over the cores for text work."""
+    return dealt(articles(spark, sf_dir), "id")
 
 
 def scored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_url, url: the link of every list item of every page."""
     source = pages(spark, sf_dir).withColumnRenamed("url", "page_url")
-    return extract_links(spread(source, "page_id"), "li", keep=("page_url",))
+    return extract_links(dealt(source, "page_id"), "li", keep=("page_url",))
 
 
 def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:

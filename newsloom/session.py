@@ -29,6 +29,15 @@ def build_session(master: str | None = None, app: str = "newsloom", **extra: str
     return builder.getOrCreate()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches for Python workers are no larger than ``SETTINGS`` says."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) not in range(1, int(SETTINGS[key]) + 1):
+        for name in (key, "spark.sql.execution.arrow.maxBytesPerBatch"):
+            conf.set(name, SETTINGS[name])
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -1,13 +1,14 @@
 """Feather (Arrow IPC) files as a Spark data source: ``spark.read.format("feather")``.
 
-Reading makes one task per record batch range of a file, or per file when there are many; writing
-makes one file per task.  Paths may be local or any file system pyarrow knows (``hdfs://``, ``s3://``).
+Reading makes one task per file, or per record batch range of a large file; writing makes one file per task.
+Paths may be on any file system pyarrow knows (``file://``, ``hdfs://``, ``s3://``).
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,22 +27,24 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 BATCHES_PER_TASK = 16
 ROWS_PER_BATCH = 65_536
-MANY_FILES = 500
+WHOLE_FILE_BYTES = 64 * 1024 * 1024  # smaller files are a task each and are not opened to plan
 
 
 def _locate(path: str):
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path.removeprefix("file:")
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return pafs.LocalFileSystem(), path
 
 
 def _files(path: str):
+    """The files of a path, at any depth and whatever their suffix; hidden ones (``_``, ``.``) are left out."""
     store, root = _locate(path)
     info = store.get_file_info(root)
     if info.type == pafs.FileType.File:
-        return store, [root]
-    found = store.get_file_info(pafs.FileSelector(root))
-    return store, sorted(f.path for f in found if f.is_file and f.path.endswith(".feather"))
+        return store, [info]
+    found = store.get_file_info(pafs.FileSelector(root, recursive=True)) if info.type == pafs.FileType.Directory else []
+    shown = [f for f in found if f.is_file and not any(p.startswith(("_", ".")) for p in f.path.removeprefix(root).split("/") if p)]
+    return store, sorted(shown, key=lambda f: f.path)
 
 
 @dataclass
@@ -58,17 +61,20 @@ class FeatherReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, files = _files(self.path)
-        if len(files) > MANY_FILES:  # enough tasks without opening each file here
-            return [BatchRange(name, 0, None) for name in files]
         ranges: list[InputPartition] = []
-        for name in files:
-            with store.open_input_file(name) as source:
+        for file in files:
+            if file.size <= WHOLE_FILE_BYTES:
+                ranges.append(BatchRange(file.path, 0, None))
+                continue
+            with store.open_input_file(file.path) as source:
                 count = ipc.open_file(source).num_record_batches
             for first in range(0, count, BATCHES_PER_TASK):
-                ranges.append(BatchRange(name, first, min(first + BATCHES_PER_TASK, count)))
+                ranges.append(BatchRange(file.path, first, min(first + BATCHES_PER_TASK, count)))
         return ranges
 
-    def read(self, partition: BatchRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: BatchRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files
+            return
         store, _ = _locate(self.path)
         with store.open_input_file(partition.file) as source:
             stored = ipc.open_file(source)
@@ -111,7 +117,7 @@ class FeatherWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, _ = _locate(self.path)
-        old = _files(self.path)[1] if self.overwrite else []
+        old = [f.path for f in _files(self.path)[1]] if self.overwrite else []
         for message in messages:
             if message is not None:
                 folder, _, name = message.staged.rpartition("/")
@@ -132,9 +138,19 @@ class FeatherSource(DataSource):
         return "feather"
 
     def schema(self) -> T.StructType:
+        """The columns of all files; a column that a file lacks is null there."""
         store, files = _files(self.options["path"])
-        with store.open_input_file(files[0]) as source:
-            return from_arrow_schema(ipc.open_file(source).schema)
+        if not files:
+            raise FileNotFoundError(f"no Feather file below {self.options['path']}; state a schema to read none")
+
+        def schema_of(file) -> pa.Schema:
+            with store.open_input_file(file.path) as source:
+                return ipc.open_file(source).schema
+
+        with ThreadPoolExecutor(16) as pool:
+            schemas = list(pool.map(schema_of, files))
+        whole = pa.unify_schemas(schemas, promote_options="permissive")
+        return from_arrow_schema(pa.schema([field.with_nullable(True) for field in whole]))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return FeatherReader(self.options["path"], schema)
@@ -153,12 +169,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeatherSource)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; without one it lies on the cluster's default file system, not on a worker's disk."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def read_feather(spark: SparkSession, path: str, schema: T.StructType | None = None):
     register(spark)
     reader = spark.read.format("feather")
-    return (reader.schema(schema) if schema else reader).load(path)
+    return (reader.schema(schema) if schema else reader).load(qualified(spark, path))
 
 
 def write_feather(df, path: str, mode: str = "append") -> None:
     register(df.sparkSession)
-    df.write.format("feather").mode(mode).save(path)
+    df.write.format("feather").mode(mode).save(qualified(df.sparkSession, path))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.operators.keys import next_key, number_rows
+from newsloom.session import written_table
 
 
 def create_if_absent(
@@ -61,8 +62,32 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("error").parquet(f"{root}/version={version}")
 
 
+def stored_versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the versions below ``root``, from the folder names alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [entry.getPath().getName() for entry in listed]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """The newest stored version; the older ones are pruned from the scan."""
-    every = spark.read.parquet(root)
-    newest = every.agg(F.max("version")).first()[0]
-    return every.filter(F.col("version") == newest).drop("version")
+    """The newest stored version with its own columns, even if it has no rows; no other is touched."""
+    return spark.read.parquet(f"{root}/version={stored_versions(spark, root)[-1]}")
+
+
+def rewrite_partitions(spark: SparkSession, table: str, changes: DataFrame, partition: str, change) -> None:
+    """Rewrite only the partitions named in ``changes``.
+
+    ``changes`` has the column ``partition`` and whatever ``change(rows, changes)`` needs to give the new rows of those
+    partitions.  The partition values of a change are few by nature (they are folders); the new rows are
+    written beside the table before they take the old ones' place.
+    """
+    stored = spark.table(table)
+    named = F.broadcast(changes.select(partition).distinct())
+    fresh = written_table(change(stored.join(named, partition, "left_semi"), changes).select(*stored.columns), "partitions")
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        fresh.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,18 +57,48 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, read by column name: other columns (an index, say) are left out.
 
+    Files of a folder may have different headers; each is read by its own.
+
     ``multi_line`` allows line breaks inside values; such files cannot be split into tasks.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
-    table = conform(raw, schema)
+    tables = []
+    for _, files in sorted(_by_header(spark, path).items()):
+        raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(files)
+        tables.append(conform(raw, schema))
+    if not tables:
+        tables.append(spark.createDataFrame([], schema))
+    table = functools.reduce(DataFrame.union, tables)
     return table.select(*columns) if columns else table
 
 
+def _by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path by their first line, which is read through Spark's file systems."""
+    found: dict[str, list[str]] = {}
+    for file in files_below(spark, path):
+        stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+        try:
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            header = reader.readLine()
+        finally:
+            stream.close()
+        if header is not None:
+            found.setdefault(header, []).append(file.toString())
+    return found
+
+
+def files_below(spark: SparkSession, path: str) -> list:
+    """Paths of the data files of a file or folder (any depth), in order; hidden ones are left out."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    walk, found = store.listFiles(root, True), []
+    while walk.hasNext():
+        file = walk.next().getPath()
+        parts = file.toUri().getPath().removeprefix(root.toUri().getPath()).split("/")
+        if not any(p.startswith(("_", ".")) for p in parts if p):
+            found.append(file)
+    return sorted(found, key=lambda f: f.toString())
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Words and their values from CSV or Parquet."""
     if path.rstrip("/").endswith(".parquet"):
@@ -85,14 +116,10 @@ def frontier_from_list(spark: SparkSession, urls: Iterable[str | None]) -> DataF
     return spark.createDataFrame([(u,) for u in urls], T.StructType([schemas.FRONTIER["url"]]))
 
 
-def spread(df: DataFrame, key: str, minimum: int | None = None) -> DataFrame:
-    """Spread rows over the cluster by a unique key if the stored files give fewer tasks than cores.
+def spread(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows dealt over ``tasks`` by a unique key, for the caller who knows that the stored files give too few tasks.
 
-    For inputs in very few row groups whose rows are costly to process; a well split table passes
-    through untouched.
+    The whole rows move, so tables are better written in files or row groups of a task's size.
     """
-    wanted = minimum or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    # always true, but it keeps costly filters above the exchange, where they run on all cores
-    return df.repartition(wanted, key).filter(F.spark_partition_id() >= 0)
+    # always true, but it keeps costly filters above the exchange, where they run in all tasks
+    return df.repartition(tasks, key).filter(F.spark_partition_id() >= 0)

@@ -44,6 +44,12 @@ def test_older_frontier_is_completed(spark):
     assert [tuple(r) for r in frontier.as_frontier(old).collect()] == [("/a", None, 0)]
 
 
+def test_older_frontier_stays_to_do(spark, rows):
+    older = spark.createDataFrame([("/b",)], "url string")
+    both = frontier.append_frontier(known(spark, [("/a", DAY, 1)]), older)
+    assert rows(frontier.todo(both), "url") == [("/b",)]
+
+
 def test_pending(spark, rows):
     table = known(spark, [(None, DAY, 0), ("/a", DAY, 0), ("/a", DAY, 0), ("/b", DAY, 0), ("https://n.example/live", DAY, 0)])
     done = spark.createDataFrame([("/b",), (None,)], "url string")
@@ -86,10 +92,14 @@ def test_collection_run_and_rerun(spark, rows):
     new, after = collection.collect_articles(table, have, pages, base)
     assert rows(new, "url", "origins") == [("/a", "APA, red"), ("/twice", ""), ("/twice", "")]
     assert rows(after, "url", "downloaded") == [
-        (None, 2), (None, 2), ("/a", 1), ("/done", 1), ("/had", 0), ("/twice", 1), ("/twice", 1), (base + "/live", 0),
+        (None, 2), ("/a", 1), ("/done", 1), ("/had", 0), ("/missing", 0), ("/twice", 1), ("/twice", 1), (base + "/live", 0),
     ]
-    again, last = collection.collect_articles(after, have.union(new.select("url")), pages, base)
+    have = have.union(new.select("url"))
+    again, last = collection.collect_articles(after, have, pages, base)
     assert again.count() == 0 and rows(last) == rows(after)
+    arrived = pages.union(spark.createDataFrame([("/missing", page())], schemas.PAGES))
+    late, after = collection.collect_articles(last, have, arrived, base)
+    assert rows(late, "url") == [("/missing",)] and ("/missing", 1) in rows(after, "url", "downloaded")
 
 
 # a lambda travels to the workers by value, unlike a function of this test module
@@ -110,7 +120,7 @@ def test_model_scores_a_table_without_the_column(spark, rows):
 
 def test_update_by_key(spark, rows):
     df = spark.createDataFrame([(1, None), (2, 1.0), (3, 0.0)], "id long, sentiment double")
-    new = spark.createDataFrame([(1, -1.0), (2, None)], "id long, sentiment double")
+    new = spark.createDataFrame([(1, -1.0), (1, -2.0), (1, None), (2, None)], "id long, sentiment double")
     assert rows(scoring.update_by_key(df, new)) == [(1, -1.0), (2, None), (3, 0.0)]
 
 

@@ -62,7 +62,7 @@ def test_is_idempotent(spark, rows):
 def test_shuffled_form_gives_the_same(spark, rows, monkeypatch):
     df = frame(spark, [(i, "hot" if i % 3 else f"t{i}", "s", "b") for i in range(60)])
     expected = rows(dedup.dedup_second_oldest(df))
-    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("newsloom.operators.joins.fits_broadcast", lambda *a, **b: False)
     assert rows(dedup.dedup_second_oldest(df)) == expected
 
 
@@ -71,3 +71,13 @@ def test_hot_groups_shrink_before_the_shuffle(spark):
     limit, exchange = plan.index("Partial", plan.index("WindowGroupLimit")), plan.index("Exchange")
     assert plan.count("WindowGroupLimit") == 2 and limit > exchange
     assert "body" not in plan.split("Exchange")[1].split("Scan")[0]
+
+
+def test_rows_without_id_stay_at_any_size(spark, monkeypatch):
+    df = frame(spark, [(1, "t", "s", "x"), (2, "t", "s", "x"), (None, "t", "s", "x"), (3, "u", "s", "x")])
+    kept = spark.createDataFrame([(2,), (3,)], "id long")
+    results = []
+    for fits in (True, False):
+        monkeypatch.setattr("newsloom.operators.joins.fits_broadcast", lambda *a, fits=fits, **b: fits)
+        results.append(sorted(str(r.id) for r in dedup.keep_ids(df, kept).collect()))
+    assert results == [["2", "3", "None"]] * 2

@@ -1,5 +1,9 @@
+import time
+
 import pytest
 
+from newsloom import schemas
+from newsloom.functions import markup
 from newsloom.functions.markup import first_elements, first_links
 from newsloom.operators import extract
 
@@ -86,3 +90,36 @@ def test_pages_are_parsed_once(spark):
     found = extract.accepted(read(spark, page()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize(
+    "html, subtitle, body",
+    [
+        ("<p class=s>S<div class=b>B</div>", "S", "B"),
+        ("<p class=s>S<h1 class=b>B", "S", "B"),
+        ("<table><tr><td class=s>S<td class=b>B</table>", "S", "B"),
+        ("<dl><dt class=s>S<dd class=b>B</dl>", "S", "B"),
+        ("<ul><li class=s>S<ul><li>in</ul><li class=b>B</ul>", "Sin", "B"),
+        ("<p class=s>S<table><tr><td><p class=b>B</table>T", "S", "B"),
+        ("<![foo[ x ]]><b class=s>S</b><![ foo><i class=b>B</i>", "S", "B"),
+        ("<b class=s>S</i></b></u><i class=b>B", "S", "B"),
+    ],
+)
+def test_implied_ends_and_broken_sections(html, subtitle, body):
+    assert markup.first_elements(html, [(".s", None), (".b", None)]) == [subtitle, body]
+
+
+@pytest.mark.parametrize("html", ["<b></i>" * 20_000, "<article>" * 20_000, "<p>" * 20_000, "<li><b>" * 20_000, "<p><b>" * 10_000 + "<div>" * 10_000])
+def test_unbalanced_pages_are_read_in_linear_time(html):
+    start = time.perf_counter()
+    markup.first_elements(html, [(".s", None)])
+    markup.first_links(html, "article")
+    assert time.perf_counter() - start < 10
+
+
+def test_a_page_the_parser_gives_up_on_is_a_reject(spark, monkeypatch):
+    assert markup.first_elements("<![CDATA[ <b>", [("b", None)]) == [None] and markup.first_links("<!", "a") == []
+    bad = spark.createDataFrame([("/a", page()), ("/b", "<![foo[ x ]]><!doctype [<"), ("/c", None)], schemas.PAGES)
+    read = extract.read_articles(bad)
+    assert [r.url for r in extract.accepted(read).collect()] == ["/a"]
+    assert sorted(r.url for r in extract.rejected(read).collect()) == ["/b", "/c"]

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from newsloom.operators import extremes, sentiment
 from newsloom.operators import joins
 
@@ -120,3 +122,13 @@ def test_labels_need_to_pass_quantile_and_floor(spark):
 def test_comparison_is_strict(spark):
     assert labels(spark, [1.0, 1.0, 1.0], 1) == ["neutral"] * 3
     assert labels(spark, [2.0, 2.0], 0) == ["neutral"] * 2
+
+
+@pytest.mark.parametrize("probs", [(0.5,), (0.1, 0.5, 0.9), (0.0, 0.25, 0.5, 0.75, 1.0)])
+def test_any_list_of_quantiles(spark, probs):
+    df = spark.range(101).select((F.col("id") * 1.0).alias("v"), (F.col("id") % 3).alias("n"))
+    want = [100 * p for p in probs]
+    assert list(extremes.exact_quantiles(df, "v", probs=probs).first()["q"]) == want
+    assert list(extremes.group_quantiles(df, "v", probs=probs).first()["q"]) == want
+    weighted = [f(df, "v", weight="n", probs=probs).first()["q"] for f in (extremes.exact_quantiles, extremes.group_quantiles)]
+    assert weighted[0] == pytest.approx(weighted[1])

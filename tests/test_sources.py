@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom import schemas, session
-from newsloom.operators import dedup
+from newsloom.operators import dedup, scoring
 from newsloom.operators.keys import next_key, number_rows
 from newsloom.sources import feather, sinks, tables
 
@@ -47,7 +47,8 @@ def test_feather_round_trip(spark, rows, tmp_path):
     assert rows(back) == rows(frontier(spark)) and back.schema == schemas.FRONTIER
 
 
-def test_feather_written_by_pandas(spark, rows, tmp_path):
+def test_feather_written_by_pandas(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(feather, "WHOLE_FILE_BYTES", 10)
     path = str(tmp_path / "urls.feather")
     table = pa.table({"index": list(range(5000)), "url": [f"/{i}" for i in range(5000)]})
     pyarrow.feather.write_feather(table, path, chunksize=100)
@@ -58,13 +59,54 @@ def test_feather_written_by_pandas(spark, rows, tmp_path):
     assert feather.read_feather(spark, path).columns == ["index", "url"]
 
 
-def test_many_feather_files(spark, tmp_path, monkeypatch):
+def test_large_feather_files_are_split(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "f")
+    monkeypatch.setattr(feather, "WHOLE_FILE_BYTES", 10)
     feather.write_feather(spark.range(100).repartition(4), path)
-    monkeypatch.setattr(feather, "MANY_FILES", 3)
     assert feather.read_feather(spark, path).agg(F.sum("id")).first()[0] == 4950
 
 
+def test_feather_reads_every_file_and_column(spark, tmp_path):
+    feather.write_feather(spark.range(3), str(tmp_path / "f"))
+    feather.write_feather(spark.range(3).withColumn("more", F.lit("x")), str(tmp_path / "f" / "sub"))
+    for n, file in enumerate(sorted((tmp_path / "f" / "sub").glob("*.feather"))):
+        file.rename(tmp_path / "f" / f"other{n}.arrow")
+    got = feather.read_feather(spark, str(tmp_path / "f"))
+    assert sorted(got.columns) == ["id", "more"] and got.count() == 6 and got.filter("more = 'x'").count() == 3
+    (tmp_path / "none").mkdir()
+    assert feather.read_feather(spark, str(tmp_path / "none"), got.schema).count() == 0
+
+
+def test_csv_files_with_different_headers(spark, rows, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "new.csv").write_text("url,datum,downloaded\n/a,2024-01-02,1\n")
+    (tmp_path / "c" / "old.csv").write_text(",url\n0,/b\n1,/c\n")
+    got = tables.read_csv(spark, str(tmp_path / "c"), schemas.FRONTIER)
+    assert rows(got, "url", "downloaded") == [("/a", 1), ("/b", None), ("/c", None)]
+
+
+def test_newest_version_counts_even_without_rows(spark, tmp_path):
+    root = str(tmp_path / "v")
+    sinks.write_version(spark.range(4), root, 9)
+    sinks.write_version(spark.range(0).withColumn("more", F.lit(1)), root, 10)
+    latest = sinks.read_latest(spark, root)
+    assert latest.columns == ["id", "more"] and latest.count() == 0
+
+
+def test_only_changed_partitions_are_rewritten(spark, tmp_path):
+    base = spark.range(20).select("id", F.lit(0).alias("v"), (F.col("id") % 4).cast("string").alias("part"))
+    sinks.create_if_absent(spark, "rewritten", str(tmp_path / "t"), base.schema, ["part"])
+    base.write.insertInto("rewritten")
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    changes = spark.createDataFrame([(1, 5, "1"), (1, 7, "1")], "id long, v int, part string")
+    sinks.rewrite_partitions(spark, "rewritten", changes, "part", lambda rows, new: scoring.update_by_key(rows, new, column="v"))
+    after = files()
+    assert {f for f in before if f not in after and "part=1" in str(f)} and all(after[f] == t for f, t in before.items() if "part=1" not in str(f))
+    assert spark.table("rewritten").count() == 20 and spark.table("rewritten").filter("v = 7").count() == 1
+    spark.sql("DROP TABLE rewritten")
+
+
 def test_lexicon_files(spark, rows, tmp_path):
     df = spark.createDataFrame([("gut", 0.5), ("schlecht", -0.5)], schemas.LEXICON)
     sinks.write_csv(df, str(tmp_path / "csv"))
@@ -106,7 +148,7 @@ def test_bucketed_articles_do_not_move_in_joins_by_key(spark, tmp_path, monkeypa
     sinks.create_if_absent(spark, name, str(tmp_path / "b"), schemas.ARTICLES, bucketed_by="id", buckets=8)
     rows = [(i, f"/{i}", None, f"t{i % 7}", None, None, None, "b") for i in range(40)]
     spark.createDataFrame(rows, schemas.ARTICLES).write.insertInto(name)
-    monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("newsloom.operators.joins.fits_broadcast", lambda *a, **b: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         kept = dedup.dedup_second_oldest(spark.table(name))
@@ -144,9 +186,8 @@ def test_local_list(spark):
     assert [r.url for r in tables.frontier_from_list(spark, ["/a", None]).collect()] == ["/a", None]
 
 
-def test_spread_only_narrow_inputs(spark):
+def test_spread(spark):
     assert tables.spread(spark.range(10, numPartitions=1), "id", 4).rdd.getNumPartitions() == 4
-    assert tables.spread(spark.range(10, numPartitions=6), "id", 4).rdd.getNumPartitions() == 6
 
 
 def test_shared_folder_is_the_configured_one(spark):

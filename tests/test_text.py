@@ -63,20 +63,17 @@ fragments = st.sampled_from(
 @given(st.lists(st.lists(fragments, max_size=5).map("".join), min_size=1, max_size=40))
 def test_needles_never_change_a_match(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "x string")
-    cases = [(p, presets.PARTY_NEEDLES[name]) for name, p in presets.PARTY_PATTERNS.items()] + [
-        (presets.BANK_PATTERN, presets.BANK_NEEDLES),
-        (presets.PERSON_PATTERN, presets.PERSON_NEEDLES),
-        (presets.MARKET_PATTERN, presets.MARKET_NEEDLES),
-        (text.any_of(presets.PARTY_TERMS), text.plain_terms(presets.PARTY_TERMS)),
-    ]
-    assert all(needles for _, needles in cases)
+    cases = [*presets.PARTY_PATTERNS.values(), presets.BANK_PATTERN, presets.PERSON_PATTERN, presets.MARKET_PATTERN, text.any_of(presets.PARTY_TERMS)]
+    assert all(text.needles_of(p) for p in cases)
     column = F.col("x")
-    differing = [text.matches(column, p, n) != text.matches(column, p) for p, n in cases]
+    differing = [text.matches(column, p) != F.coalesce(column.rlike("(?U)" + p), F.lit(False)) for p in cases]
     assert df.select(*[F.count_if(d) for d in differing]).first() == (0,) * len(cases)
 
 
 def test_terms_with_regex_syntax_give_no_needles():
     assert text.plain_terms(["a", "b.c"]) == [] and text.plain_terms(["ÖVP", "b c"]) == ["ÖVP", "b c"]
+    assert text.needles_of("") == text.needles_of("a|") == text.needles_of("a[bc]|d") == text.needles_of(r"a\d") == []
+    assert text.needles_of(r"\ba\b|b c") == ["a", "b c"] and text.needles_of(r"(^|[^\pL\pN_])x($|[^\pL\pN_])|y") == ["x", "y"]
 
 
 def test_term_list():
