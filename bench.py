@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,6 +35,7 @@ HEADLINE = (
     "classify_extremes",
     "score_missing_merge",
     "word_tokens",
+    "collected_articles",
 )
 
 
@@ -47,6 +49,7 @@ def main() -> None:
         "newsloom-bench",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="newsloom-bench-"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

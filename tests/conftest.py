@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
         "local[8]",
         "newsloom-tests",
         spark__sql__shuffle__partitions="8",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="newsloom-tests-"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",

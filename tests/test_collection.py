@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.operators import frontier, scoring
 from newsloom.plans import collection
+from newsloom.sources import sinks
 from test_pages import page
 
 DAY = dt.date(2023, 4, 1)
@@ -146,3 +147,23 @@ def test_store_articles_continues_keys(spark, tmp_path):
     assert sorted(r.id for r in stored.select("id").collect()) == list(range(1, 11))
     assert stored.agg(F.max("pubdate")).first()[0] == dt.datetime(2023, 5, 1, 12, 34)
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_html_of_bucketed_pages_does_not_move(spark, tmp_path, monkeypatch):
+    name = "pages_" + tmp_path.name.replace("-", "_")
+    sinks.create_if_absent(spark, name, str(tmp_path / "pages"), schemas.PAGES, bucketed_by="url", buckets=4)
+    spark.createDataFrame([(f"/{i}", page()) for i in range(20)], schemas.PAGES).write.insertInto(name)
+    monkeypatch.setattr("newsloom.operators.joins.fits_broadcast", lambda *a, **b: False)
+    plans = []
+    write = collection.written_table
+    monkeypatch.setattr(collection, "written_table", lambda df, n: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, n))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = known(spark, [(f"/{i}", DAY, 0) for i in range(10)])
+        new, _ = collection.collect_articles(table, spark.createDataFrame([], "url string"), spark.table(name), "://")
+        assert new.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    parsed = next(p for p in plans if "SelectedBucketsCount" in p)
+    assert all("html" not in line and "body" not in line for line in parsed.splitlines() if "Exchange" in line)
+    spark.sql(f"DROP TABLE {name}")
