@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.functions.dates import day, day_path
+from newsloom.functions.dates import day, day_path, stored_time
 from newsloom.functions.text import absolute_url
 from newsloom.operators.joins import join_checked
 
@@ -16,7 +17,9 @@ TODO, DONE, FAILED = 0, 1, 2
 
 
 def high_water_mark(df: DataFrame, column: str = "pubdate", out: str = "newest") -> DataFrame:
-    return df.agg(F.max(column).alias(out))
+    """The newest time; times kept as text are read first."""
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    return df.agg(F.max(stored_time(F.col(column)) if text else column).alias(out))
 
 
 def _date(value: dt.date | Column | None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions.scores import class_label, softmax
 from newsloom.operators.joins import join_checked
+from newsloom.session import small_batches
 
 # A scorer takes a list of texts and returns one list of class scores per text.
 Scorer = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -33,7 +34,7 @@ def logits_of(
             yield pd.Series([None if text is None else list(map(float, next(rows))) for text in texts], dtype="object")
 
     # marked so that a filter on the result never runs the model twice
-    return df.withColumn(out, score.asNondeterministic()(where_text(text, where)))
+    return small_batches(df).withColumn(out, score.asNondeterministic()(where_text(text, where)))
 
 
 def where_text(text: str, where: Column | None) -> Column:

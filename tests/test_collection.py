@@ -32,6 +32,11 @@ def test_days_at_the_edge(spark, today, count):
     assert frontier.front_page_dates(newest(spark, DAY), today=today).count() == count
 
 
+def test_newest_of_times_kept_as_text(spark):
+    kept = spark.createDataFrame([("2023-04-01 08:00:00",), ("2023-04-02 07:59:59",), ("2024-13-01 00:00:00",), (None,)], "pubdate string")
+    assert frontier.high_water_mark(kept).first()[0] == dt.datetime(2023, 4, 2, 7, 59, 59)
+
+
 def test_no_articles_no_days(spark):
     assert frontier.front_page_dates(newest(spark, None), today=DAY).count() == 0
 
