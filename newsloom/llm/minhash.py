@@ -129,6 +129,14 @@ def plausible(packed: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[
     return (est >= threshold - slack) & (least >= threshold * most), est
 
 
+def plausible_with(packed: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+    """``plausible`` of one row with some others."""
+    r = np.ascontiguousarray(packed).view(np.uint16)
+    agree, e = (r[others] == r[i]).mean(1), collision_rate()
+    slack = 4 * np.sqrt(threshold * (1 - threshold) / np.minimum(np.minimum(sizes[others], sizes[i]), REGISTERS))
+    return (agree - e) / (1 - e) >= threshold - slack
+
+
 def forest(ok: np.ndarray, est: np.ndarray, pivot: int) -> list[tuple[int, int]]:
     """Pairs that span what is plausible: with the pivot first, then by estimate."""
     n = len(ok)
@@ -181,22 +189,9 @@ def sets_of(df: DataFrame, text: str) -> DataFrame:
 GROUP = ["band", "key", "chunk"]
 
 
-def chunk_pairs(members: DataFrame, threshold: float, first: bool) -> DataFrame:
-    """Pairs (a < b) worth confirming within each chunk; rows come sorted, so a group ends where its key changes."""
-
-    def of_group(g: pd.DataFrame) -> list[tuple[int, int]]:
-        node = g["node"].to_numpy()
-        if len(node) < 2:
-            return []
-        packed, sizes = np.stack(g["regs"].to_list()), g["n"].to_numpy().astype(np.float64)
-        ok, est = plausible(packed, sizes, threshold)
-        np.fill_diagonal(ok, False)
-        if first:
-            pairs = forest(ok, est, int(np.argmin(node)))
-        else:
-            label = g["label"].to_numpy()
-            pairs = zip(*np.nonzero(np.triu(ok & (label[:, None] != label[None, :]), 1)), strict=True)
-        return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs if node[i] != node[j]]
+def by_group(frame: DataFrame, of_group, schema: str) -> DataFrame:
+    """``of_group`` over the rows of each chunk; rows come sorted, so a group ends where its key changes."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -206,31 +201,106 @@ def chunk_pairs(members: DataFrame, threshold: float, first: bool) -> DataFrame:
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             keys = rows[GROUP].to_numpy()
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
-            out = [p for a, b in zip(edges, edges[1:], strict=False) for p in of_group(rows.iloc[a:b])]
+            out = [r for a, b in zip(edges, edges[1:], strict=False) for r in of_group(rows.iloc[a:b])]
             rest = rows.iloc[edges[-1] :]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(out, columns=names, dtype="int64")
         if rest is not None:
-            yield pd.DataFrame(of_group(rest), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(of_group(rest), columns=names, dtype="int64")
+
+    return frame.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(run, schema)
+
+
+def first_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) that span what is plausible in each chunk: fewer than the chunk has rows."""
+
+    def of_group(g: pd.DataFrame) -> list[tuple]:
+        node = g["node"].to_numpy()
+        if len(node) < 2:
+            return []
+        ok, est = plausible(np.stack(g["regs"].to_list()), g["n"].to_numpy().astype(np.float64), threshold)
+        np.fill_diagonal(ok, False)
+        pairs = forest(ok, est, int(np.argmin(node)))
+        return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs if node[i] != node[j]]
+
+    return by_group(members, of_group, "a long, b long").distinct()
 
-    return members.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(run, "a long, b long").distinct()
+
+def open_pairs(g: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the plausible pairs of different components, one of them at home in the chunk.
+
+    A pair counts in the first band it shares only; the bucket of that band was kept, as of buckets with the same
+    members the one of the first band is.
+    """
+    packed = np.stack(g["regs"].to_list()).astype(np.int64)
+    home, label, band = g["home"].to_numpy().astype(bool), g["label"].to_numpy(), int(g["band"].iloc[0])
+    node, sizes = g["node"].to_numpy(), g["n"].to_numpy().astype(np.float64)
+    left, right = [], []
+    for i in np.flatnonzero(home):
+        others = np.flatnonzero((label != label[i]) & (~home | (node > node[i])) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i])))
+        others = others[np.argmax(packed[others] == packed[i], axis=1) == band] if len(others) else others
+        if len(others):
+            ok = plausible_with(packed, sizes, int(i), others, threshold)
+            left += [i] * int(ok.sum())
+            right += others[ok].tolist()
+    return np.array(left, int), np.array(right, int)
+
+
+def second_links(members: DataFrame, reps: DataFrame, df: DataFrame, text: str, percent: int) -> DataFrame:
+    """Confirmed pairs that join different components.  Chunks first name the rows that take part in a plausible pair; full sets
+    are sent for those alone and compared inside the chunk, which hands on the pairs that join something."""
+    threshold = percent / 100
+
+    def taking_part(g: pd.DataFrame) -> list[tuple]:
+        if g["label"].nunique() < 2:
+            return []
+        left, right = open_pairs(g, threshold)
+        key = g["band"].iloc[0], g["key"].iloc[0], g["chunk"].iloc[0]
+        return [(*key, int(g["node"].iloc[i])) for i in sorted({*left.tolist(), *right.tolist()})]
+
+    part = written_table(by_group(members, taking_part, "band long, key long, chunk long, node long"), "partners")
+    sets = sets_for(part.select("node").distinct(), reps, df, text)
+    rows = members.join(part, [*GROUP, "node"]).join(sets, "node")
+
+    def of_group(g: pd.DataFrame) -> list[tuple]:
+        if g["label"].nunique() < 2:
+            return []
+        node, label = g["node"].to_numpy(), g["label"].to_numpy().copy()
+        hashes = [np.asarray(h).view(U) for h in g["hashes"]]
+        out = []
+        for i, j in zip(*open_pairs(g, threshold), strict=True):
+            if label[i] == label[j]:
+                continue
+            common = int(np.isin(hashes[i], hashes[j], assume_unique=True).sum())
+            if 100 * common >= percent * (len(hashes[i]) + len(hashes[j]) - common):
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+                label[label == label[j]] = label[i]
+        return out
+
+    return written_table(by_group(rows, of_group, "a long, b long").distinct(), "links")
 
 
 def chunked(members: DataFrame, everywhere: F.Column) -> DataFrame:
     """Each row in its chunk of the bucket; rows for which ``everywhere`` holds in all of them."""
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    own = F.array(F.pmod(F.xxhash64("node", "band"), chunks).cast("int"))
-    return members.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(own)))
+    own = F.pmod(F.xxhash64("node", "band"), chunks).cast("int")
+    placed = members.withColumn("own", own).withColumn(
+        "chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("own")))
+    )
+    return placed.withColumn("home", (F.col("own") == F.col("chunk")).cast("int")).drop("own")
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs whose full sets reach ``percent`` of their union.  Texts are read again for the nodes concerned only."""
-    wanted = written_table(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "fp", "hashed"), "node"), "nodes"
-    )
+def sets_for(nodes: DataFrame, reps: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """(node, hashes) of the full shingle sets.  Texts are read again for these nodes only."""
+    wanted = written_table(nodes.join(reps.select("node", "fp", "hashed"), "node"), "nodes")
     texts = df.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(f"`{text}`").alias("hashed"))
     chosen = join_checked(texts, wanted.select("hashed").distinct(), "hashed", "left_semi", bound=wanted.select("hashed"))
     sets = sets_of(chosen.dropDuplicates(["hashed"]), "_text").join(wanted.select("fp", "node"), "fp")
-    sets = written_table(sets.dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    return written_table(sets.dropDuplicates(["node"]).select("node", "hashes"), "sets")
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, percent: int) -> DataFrame:
+    """The pairs whose full sets reach ``percent`` of their union."""
+    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, df, text)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
     )
@@ -251,7 +321,7 @@ def components(links: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select("v", "u"))
         least = written_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = written_table(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = written_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # few rows a node by now: the large star moved its neighbours
         joined = large.join(least, "u")
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         pairs = written_table(small.distinct(), "stars")
@@ -276,11 +346,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     buckets = members.groupBy("band", "key").agg(
         F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("same")
     )
-    # buckets of one member link nothing; of those with the same members one is enough
-    shared = written_table(buckets.filter(F.col("m") > 1).dropDuplicates(["m", "pivot", "same"]).drop("same"), "buckets")
+    # buckets of one member link nothing; of those with the same members that of the first band is enough
+    alike = buckets.filter(F.col("m") > 1).groupBy("m", "pivot", "same").agg(F.min(F.struct("band", "key")).alias("at"))
+    shared = written_table(alike.select("at.band", "at.key", "m", "pivot"), "buckets")
     inside = written_table(members.join(shared, ["band", "key"]), "members")
     with_registers = inside.join(reps.select("node", "n", "regs"), "node")
-    pairs = written_table(chunk_pairs(chunked(with_registers, F.col("node") == F.col("pivot")), threshold, True), "pairs")
+    pairs = written_table(first_pairs(chunked(with_registers, F.col("node") == F.col("pivot")), threshold), "pairs")
     links = confirm(pairs, reps, df, text, percent)
     labels = components(links)
 
@@ -292,11 +363,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     )
     left = written_table(labelled.join(mixed_buckets, ["band", "key"]), "left")
     second = chunked(left.join(reps.select("node", "n", "regs"), "node"), F.col("label") != F.col("main"))
-    more = written_table(chunk_pairs(second, threshold, False), "pairs")
-    if more.limit(1).count():
-        found = confirm(more, reps, df, text, percent)
-        if found.limit(1).count():
-            labels = components(links.union(found))
+    found = second_links(second, reps, df, text, percent)
+    if found.limit(1).count():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
 
     named = reps.select("node", "fp", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = written_table(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "names")
