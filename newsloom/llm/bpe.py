@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import small_batches
+from newsloom.llm.common import ready_for_python
 
 NEVER = 1 << 62
 # entries of the tables a Python worker keeps to save work (some 100 MB in all); a full one is emptied
@@ -246,7 +246,7 @@ def _shipped(df: DataFrame, path: str):
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", packed: bool = False) -> DataFrame:
     """Add the token ids of ``text``: ``array<int>``, or ``packed`` as little-endian unsigned 32 bits."""
-    shipped = _shipped(small_batches(df), path)
+    shipped = _shipped(ready_for_python(df), path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = vocabulary(shipped.value, pattern)
@@ -260,7 +260,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that ids stand for, packed or in an array; null ids stand for none."""
-    shipped = _shipped(small_batches(df), path)
+    shipped = _shipped(ready_for_python(df), path)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = token_bytes(shipped.value)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import newsloom
+
 # A word is a run of characters other than the six ASCII white space characters.  On UTF-8 bytes,
 # bytes.split() cuts at exactly these characters, and bytes.lower() lowers exactly A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,10 +42,32 @@ def unpacked(df: DataFrame, struct: str, *fields: str) -> DataFrame:
     return df.select(*kept, *[F.col(struct)[n[0]].alias(n[-1]) for n in named])
 
 
-def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
-    """Lower the session's bounds on the batches sent to Python workers, which hold a batch and its results."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def ready_for_python(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """``df``, in a session whose Python workers can import this package and get small batches.
+
+    Workers hold a batch and its results, so the session's bounds on batches are lowered.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's sources to the workers, once an application: they need not have it installed, wherever the
+    driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped_to:
+        return
+    root = pathlib.Path(newsloom.__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="newsloom-")) / f"newsloom-{context.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))  # served by the driver
+    _shipped_to.add(context.applicationId)
+
+
+_shipped_to: set[str] = set()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import small_batches
+from newsloom.llm.common import ready_for_python
 from newsloom.operators.joins import join_checked
 from newsloom.session import written_table
 
@@ -215,7 +215,7 @@ def templates(pages: DataFrame, url: str = "url", page: str = "html") -> DataFra
             yield pd.Series([page_tokens(p) for p in rows], dtype=object)
 
     kind = "array<struct<token: long, kind: int, n: int, depth: int, open: long>>"
-    each = small_batches(pages).select(
+    each = ready_for_python(pages).select(
         host_of(url).alias("_host"), F.xxhash64(f"`{page}`").alias("_page"), F.pandas_udf(run, kind)(F.col(f"`{page}`")).alias("_tokens")
     )
     whole = F.array(F.struct(F.lit(0).cast("long").alias("token"), F.lit(2).alias("kind"), F.lit(1).alias("n"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("open")))

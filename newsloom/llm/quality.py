@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import small_batches, unpacked, words
+from newsloom.llm.common import ready_for_python, unpacked, words
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]+")
 _SPACES = " \t\n\v\f\r"
@@ -104,5 +104,5 @@ def quality(df: DataFrame, id_col: str = "doc_id", text: str = "text", bands: Ba
         for texts in batches:
             yield pd.DataFrame([judge(t, bands, packer) for t in texts], columns=names)
 
-    judged = small_batches(df).select(F.col(f"`{id_col}`"), F.pandas_udf(run, SCHEMA)(F.col(f"`{text}`")).alias("_judged"))
+    judged = ready_for_python(df).select(F.col(f"`{id_col}`"), F.pandas_udf(run, SCHEMA)(F.col(f"`{text}`")).alias("_judged"))
     return unpacked(judged, "_judged", *[c.split()[0] for c in SCHEMA.split(", ")])

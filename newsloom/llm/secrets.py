@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import small_batches
+from newsloom.llm.common import ready_for_python
 
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII
@@ -127,7 +127,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", rule: Novelty
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_novel", "base", "spans"])
 
     kind = "n_assign long, n_access long, n_hex long, n_novel long, base string, spans string"
-    return small_batches(df).withColumn(out, F.pandas_udf(run, kind)(F.col(f"`{text}`")))
+    return ready_for_python(df).withColumn(out, F.pandas_udf(run, kind)(F.col(f"`{text}`")))
 
 
 def masked(text: str | None, rule: Novelty, mask: str) -> str | None:
@@ -151,4 +151,4 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", rule: Nove
         for texts in batches:
             yield pd.Series([masked(t, rule, mask) for t in texts], dtype=object)
 
-    return small_batches(df).withColumn(text, F.pandas_udf(run, "string")(F.col(f"`{text}`")))
+    return ready_for_python(df).withColumn(text, F.pandas_udf(run, "string")(F.col(f"`{text}`")))

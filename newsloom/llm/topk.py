@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import small_batches
+from newsloom.llm.common import ready_for_python
 from newsloom.session import written_table
 
 QUERY_BLOCK = 1024
@@ -132,7 +132,7 @@ def search(
     df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: float = 1024.0
 ) -> DataFrame:
     """Per query: query_id, rank, vec_id, score of its ``k`` best rows of ``df``."""
-    small_batches(df)
+    ready_for_python(df)
     rows = written_table(prepare(df, id_col, vector, scale), "vectors")
     asked = written_table(
         prepare(queries, id_col, vector, scale).filter(F.col("_id").isNotNull()).dropDuplicates(["_id", "_v"]), "queries"

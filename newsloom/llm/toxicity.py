@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import small_batches
+from newsloom.llm.common import ready_for_python
 from newsloom.session import written_table
 
 SAMPLE = 20_000
@@ -72,7 +72,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds)[None, :] - logit[:, None], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, features: np.ndarray, steps: int = 800, decay: float = 1e-5) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, features: np.ndarray, steps: int = 400, decay: float = 1e-4) -> Ordinal:
     """Maximum likelihood by gradient steps; rows hold places in ``features``."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     places = np.concatenate(rows).astype(np.int64) if len(owner) else np.zeros(0, np.int64)
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str
 
     # the sample is bounded, so it may go to every task and the texts stay where they are
     texts = docs.select(F.col(f"`{id_col}`").alias("_of"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_of")
-    rows = written_table(small_batches(texts).select("_toxic", F.pandas_udf(run, "array<int>")("_text").alias("features")), "labelled")
+    rows = written_table(ready_for_python(texts).select("_toxic", F.pandas_udf(run, "array<int>")("_text").alias("features")), "labelled")
     sizes = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sum(v for k, v in sizes.items() if k > 0), sum(v for k, v in sizes.items() if k <= 0)
     if not toxic or not other:
@@ -178,7 +178,7 @@ def grade(
             )
 
     kind = "p_toxic double, p_severe double, expected_severity double, grade int, toxic boolean"
-    out = small_batches(docs).withColumn("_graded", F.pandas_udf(run, kind)(F.col(f"`{text}`")))
+    out = ready_for_python(docs).withColumn("_graded", F.pandas_udf(run, kind)(F.col(f"`{text}`")))
     return out.withColumns({c.split()[0]: F.col("_graded")[c.split()[0]] for c in kind.split(", ")}).drop("_graded")
 
 

@@ -37,6 +37,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from newsloom.llm.common import ship_package
 from newsloom.operators.joins import join_checked
 
 # Column -> header; these can be tested before any payload is decoded.
@@ -294,6 +295,7 @@ class WarcSource(DataSource):
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
     """Records below ``path``.  Predicates on header columns are tested before payloads are decoded, for
     which the session's switch for pushing filters into Python sources is turned on."""
+    ship_package(spark)
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").schema(columns).load(path)
@@ -331,5 +333,6 @@ def write_warc(
         F.when(~revisit, F.col("payload")).alias("payload"), "digest", "payload_bytes",
         F.when(revisit, F.col("_first")).alias("refers_to"),
     )
+    ship_package(pages.sparkSession)
     pages.sparkSession.dataSource.register(WarcSource)
     typed.write.format("warc").mode("append").save(path)
