@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import lower_words, small_batches
+from newsloom.llm.common import lower_words, ready_for_python
 from newsloom.operators.joins import join_checked
 from newsloom.operators.keys import number_rows
 from newsloom.session import written_table
@@ -37,7 +37,8 @@ REGISTERS = 1 << REGISTER_BITS
 REST_BITS = 64 - REGISTER_BITS
 MANTISSA_BITS = 10
 BAND = 4  # registers of 16 bits: a band is one long
-CHUNK = 64
+CHUNK = 64  # nodes of a bucket that are compared with each other at once
+LATER_CHUNK = CHUNK  # the same where most are in one component already, so few pairs are open
 PROBES = 512
 CACHED_WORDS = 400_000
 U = np.uint64
@@ -168,7 +169,7 @@ def sketch(df: DataFrame, text: str, out: str = "_sketch") -> DataFrame:
                 rows.append((xxhash.xxh3_128_digest(b" ".join(found)), len(hashes), packed))
             yield pd.DataFrame(rows, columns=["fp", "n", "regs"])
 
-    return small_batches(df).withColumn(out, F.pandas_udf(run, "fp binary, n long, regs array<long>")(F.col(f"`{text}`")))
+    return ready_for_python(df).withColumn(out, F.pandas_udf(run, "fp binary, n long, regs array<long>")(F.col(f"`{text}`")))
 
 
 def sets_of(df: DataFrame, text: str) -> DataFrame:
@@ -182,7 +183,7 @@ def sets_of(df: DataFrame, text: str) -> DataFrame:
                 rows.append((xxhash.xxh3_128_digest(b" ".join(found)), shingles(found).view(np.int64)))
             yield pd.DataFrame(rows, columns=["fp", "hashes"])
 
-    made = small_batches(df).select(F.pandas_udf(run, "fp binary, hashes array<long>")(F.col(text)).alias("_s"))
+    made = ready_for_python(df).select(F.pandas_udf(run, "fp binary, hashes array<long>")(F.col(text)).alias("_s"))
     return made.select("_s.fp", "_s.hashes")
 
 
@@ -279,9 +280,9 @@ def second_links(members: DataFrame, reps: DataFrame, df: DataFrame, text: str,
     return written_table(by_group(rows, of_group, "a long, b long").distinct(), "links")
 
 
-def chunked(members: DataFrame, everywhere: F.Column) -> DataFrame:
+def chunked(members: DataFrame, everywhere: F.Column, size: int = CHUNK) -> DataFrame:
     """Each row in its chunk of the bucket; rows for which ``everywhere`` holds in all of them."""
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("m") / size).cast("int")
     own = F.pmod(F.xxhash64("node", "band"), chunks).cast("int")
     placed = members.withColumn("own", own).withColumn(
         "chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("own")))
@@ -362,7 +363,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
         .filter(F.col("labels") > 1).drop("labels")
     )
     left = written_table(labelled.join(mixed_buckets, ["band", "key"]), "left")
-    second = chunked(left.join(reps.select("node", "n", "regs"), "node"), F.col("label") != F.col("main"))
+    second = chunked(left.join(reps.select("node", "n", "regs"), "node"), F.col("label") != F.col("main"), LATER_CHUNK)
     found = second_links(second, reps, df, text, percent)
     if found.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
