@@ -6,8 +6,8 @@ that share a vector form an equivalence class; classes of tokens found on at lea
 different pages make up the template, nested by their paths.  What the template leaves open are slots.  The main
 slot is the innermost template container that holds most of the text that is not template text.
 
-Vectors are never gathered: a vector is represented by a sum of page hashes weighted by counts, which is added up
-before and after the shuffle, so a host with a third of all pages costs a few rows a task.  Equal pages of a
+Vectors are never gathered: a vector is represented by the exclusive or of the hashes of its (page, count) pairs, which
+combines before and after the shuffle, so a host with a third of all pages costs a few rows a task.  Equal pages of a
 host count once.
 
 A page's region is its ``article`` elements, else ``main``, else the host's main slot, else its body.  Menus,
