@@ -38,9 +38,9 @@ REST_BITS = 64 - REGISTER_BITS
 MANTISSA_BITS = 10
 BAND = 4  # registers of 16 bits: a band is one long
 CHUNK = 64  # nodes of a bucket that are compared with each other at once
-LATER_CHUNK = CHUNK  # the same where most are in one component already, so few pairs are open
+LATER_CHUNK = 1024  # the same where most are in one component already, so few pairs are open
 PROBES = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 U = np.uint64
 
 _mixer = np.random.RandomState(20240229)
@@ -168,6 +168,7 @@ def sketch(df: DataFrame, text: str, out: str = "_sketch") -> DataFrame:
                 packed = registers(hashes).view(np.int64) if len(hashes) else None
                 rows.append((xxhash.xxh3_128_digest(b" ".join(found)), len(hashes), packed))
             yield pd.DataFrame(rows, columns=["fp", "n", "regs"])
+        _hashes.clear()  # workers live on, with other operators' tables beside this one
 
     return ready_for_python(df).withColumn(out, F.pandas_udf(run, "fp binary, n long, regs array<long>")(F.col(f"`{text}`")))
 
@@ -182,6 +183,7 @@ def sets_of(df: DataFrame, text: str) -> DataFrame:
                 found = lower_words(t)
                 rows.append((xxhash.xxh3_128_digest(b" ".join(found)), shingles(found).view(np.int64)))
             yield pd.DataFrame(rows, columns=["fp", "hashes"])
+        _hashes.clear()
 
     made = ready_for_python(df).select(F.pandas_udf(run, "fp binary, hashes array<long>")(F.col(text)).alias("_s"))
     return made.select("_s.fp", "_s.hashes")

@@ -32,7 +32,7 @@ KEPT = 20_000  # features of the model at most
 LEAST_Z = 3.5  # how many deviations the log odds of a feature must lie from 0
 PREFIXES = (3, 4, 5)
 GRADES = 3
-CACHED = 200_000
+CACHED = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -176,6 +176,7 @@ def grade(
             yield pd.DataFrame(
                 {"p_toxic": above[:, 0], "p_severe": above[:, 1], "expected_severity": above.sum(1), "grade": each.argmax(1), "toxic": above[:, 0] >= cut}
             )
+        shipped.value.known.clear()  # workers live on
 
     kind = "p_toxic double, p_severe double, expected_severity double, grade int, toxic boolean"
     out = ready_for_python(docs).withColumn("_graded", F.pandas_udf(run, kind)(F.col(f"`{text}`")))
