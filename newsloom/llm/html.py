@@ -21,7 +21,7 @@ by element, role and class.  A class or id that only has such a word as a part (
 only if its container belongs to the host's template, or the host has none.  Nothing else is left out.
 
 A null or empty page has the text "".  A null address counts as a host of its own.  Broken markup (missing
-ends, unclosed tags and comments) is read as browsers do, roughly; reading takes linear time.
+ends, stray quotes, unclosed tags and comments) is read as browsers do, roughly; reading takes linear time.
 Repeated rows are extracted singly; other columns pass through.
 """
 
@@ -67,8 +67,13 @@ CLASSES_LEFT_OUT = frozenset(
 )
 ROLES_LEFT_OUT = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 WHOLE_PAGE = frozenset("html body article main".split())  # their classes describe the page, not a part of it
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# a quote opens a value only after "="; elsewhere it belongs to a name or an unquoted value
+_SPACE = r"\t\n\f\r\x20"
+_NAME = rf"(?:=[^{_SPACE}/>=]*+|[^{_SPACE}/>=]++)"
+_VALUE = rf"[{_SPACE}]*+=[{_SPACE}]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^{_SPACE}>]++|(?=>))"
+_TAG = re.compile(rf"</?([a-zA-Z][^{_SPACE}/>]*+)((?:[{_SPACE}/]++|{_NAME}(?:{_VALUE}|(?![{_SPACE}]*+=)))*+)>")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:[{_SPACE}]*+=[{_SPACE}]*+(?:\"([^\"]*+)\"|'([^']*+)'|((?![\"'])[^{_SPACE}>]++))?+)?+")
+_LETTER = re.compile("[a-zA-Z]")
 _PARTS = re.compile(r"[a-z]+")
 _TELLS_OF_OTHERS = ("has-", "no-", "with-", "without-")  # names that say what else the page has
 _HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
@@ -138,12 +143,12 @@ def blocks(page: str | None, frame: frozenset[int] | None = None) -> Iterator[Bl
         if start == len(page):
             break
         following = page[start + 1 : start + 2]
-        if following in ("!", "?") or following == "/" and not page[start + 2 : start + 3].isalpha():
+        if following in ("!", "?") or following == "/" and not _LETTER.match(page, start + 2):
             comment = page.startswith("<!--", start)
             end = page.find("-->" if comment else ">", start + (2 if comment and page.startswith("<!-->", start) else 4 if comment else 1))
             at = len(page) if end < 0 else end + (3 if comment else 1)
             continue
-        if not (following.isascii() and following.isalpha()) and following != "/":
+        if not _LETTER.match(following) and following != "/":
             parts.append("<")
             at = start + 1
             continue
