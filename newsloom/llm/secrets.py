@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and strings that stay incompressible next to what surrounds them.
 
-A candidate is a long run of key characters with a sensitive word shortly before it.  zstandard is primed
+A candidate is a long run of key characters with a sensitive word shortly before it, or one that goes on from such a run
+or a fixed pattern after only line breaks, dots, quotes or the like: all lines of a key block, all parts of a dotted token;
+also the short last line of a block.  zstandard is primed
 with a dictionary of common identifiers and the text around the candidate; the bytes it then needs for
 the candidate are its novelty.  Names, paths and words share pieces with their surroundings and cost
 little; keys cost about a byte a character and are reported.
@@ -32,6 +34,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(
     r"key|token|secret|passw|passphrase|pwd|auth|bearer|credential|private|signature|session|cookie|cert|webhook", re.IGNORECASE | re.ASCII
 )
+GOES_ON = re.compile(r"[\s\"'`.,+\\>#*|]*[\n\r\"'`.\\][\s\"'`.,+\\>#*|]*")
+LAST_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/]{1,15}={0,2})(?=[\x20\t]*(?:\r?\n[\x20\t]*-----END|(?<==)[\x20\t]*(?:[\r\n]|\Z)))")
 IDENTIFIERS = (
     "accessKey access_token apiKey api_key application arguments array assert async attribute authorization await base64 "
     "boolean buffer callback certificate class client_id client_secret collection column configuration connection const "
@@ -51,7 +55,7 @@ IDENTIFIERS = (
 @dataclass(frozen=True)
 class Novelty:
     """``share``: compressed bytes per byte from which on a candidate counts as incompressible;
-    ``context`` characters before it must hold a sensitive word; ``around`` characters on either side prime
+    ``context`` characters before it, or before the run it goes on from, must hold a sensitive word; ``around`` characters on either side prime
     the compressor."""
 
     share: float = 0.8
@@ -85,20 +89,28 @@ def novelty(candidate: str, around: str, level: int) -> float:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], rule: Novelty) -> list[tuple[int, int, int, int]]:
-    found, at = [], 0
+    found, at, carried, reported = [], 0, -1, -1  # ends of the last run in a sensitive context, and of the last one reported
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while at < len(base) and base[at][2] <= start:
             at += 1
-        if any(s < end and start < e for s, _, e, _ in base[max(0, at - 2) : at + 3]):
-            continue
-        if not SENSITIVE.search(text, max(0, start - rule.context), start):
+        met = [x for x in base[max(0, at - 2) : at + 3] if x[0] < end and start < x[2]]
+        before = max([e for _, kind, e, _ in base[max(0, at - 2) : at] if kind < 2 and e <= start], default=-1)
+        since = max(carried, before)
+        goes_on = 0 <= since and start - since <= rule.context and GOES_ON.fullmatch(text, since, start)
+        if goes_on or any(kind < 2 for _, kind, _, _ in met) or SENSITIVE.search(text, max(0, start - rule.context), start):
+            carried = max([end, *[e for _, _, e, _ in met]])
+        if met or carried < end:
             continue
         if not mixed_characters(m.group()):
             continue
         around = text[max(0, start - rule.around) : start] + text[end : end + rule.around]
         if novelty(m.group(), around, rule.level) >= rule.share:
             found.append((start, 3, end, start))
+            in_block = 0 <= reported and start - reported <= rule.context and GOES_ON.fullmatch(text, reported, start)
+            if in_block and (last := LAST_LINE.match(text, end)):
+                found.append((last.start(1), 3, last.end(1), last.start(1)))
+            reported = end
     return found
 
 
