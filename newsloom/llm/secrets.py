@@ -5,7 +5,8 @@ or a fixed pattern after only line breaks, dots, quotes or the like: all lines o
 also the short last line of a block.  zstandard is primed
 with a dictionary of common identifiers and the text around the candidate; the bytes it then needs for
 the candidate are its novelty.  Names, paths and words share pieces with their surroundings and cost
-little; keys cost about a byte a character and are reported.
+little; keys cost what random characters of their alphabet cost at their length, and are reported.  Copies of the candidate
+nearby do not prime; once a string is reported, so are all its copies in the text, whatever stands before them.
 
 A null or empty text has no spans.  Texts are scanned whole, in code points.  Repeated rows are scanned
 singly; columns other than the text pass through.
@@ -13,6 +14,7 @@ singly; columns other than the text pass through.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,10 +32,12 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run is taken whole or, if shorter, not at all
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16  # characters of a candidate
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 SENSITIVE = re.compile(
     r"key|token|secret|passw|passphrase|pwd|auth|bearer|credential|private|signature|session|cookie|cert|webhook", re.IGNORECASE | re.ASCII
 )
+NAMED = re.compile(rf"[A-Za-z0-9_-]+=(?=[A-Za-z0-9+/_-]{{{LEAST}}})")  # a name inside the run, before the candidate itself
 GOES_ON = re.compile(r"[\s\"'`.,+\\>#*|]*[\n\r\"'`.\\][\s\"'`.,+\\>#*|]*")
 LAST_LINE = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/]{1,15}={0,2})(?=[\x20\t]*(?:\r?\n[\x20\t]*-----END|(?<==)[\x20\t]*(?:[\r\n]|\Z)))")
 IDENTIFIERS = (
@@ -54,11 +58,13 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Novelty:
-    """``share``: compressed bytes per byte from which on a candidate counts as incompressible;
+    """``share``: compressed bytes per byte from which on a candidate counts as incompressible, less where random characters
+    of its length and alphabet cost less: then ``near`` of their cost;
     ``context`` characters before it, or before the run it goes on from, must hold a sensitive word; ``around`` characters on either side prime
     the compressor."""
 
     share: float = 0.8
+    near: float = 0.94
     context: int = 48
     around: int = 1000
     level: int = 3
@@ -88,30 +94,91 @@ def novelty(candidate: str, around: str, level: int) -> float:
     return (len(packer.compress(data)) - len(packer.compress(b""))) / len(data)
 
 
+def least_cost(candidate: str, rule: Novelty) -> float:
+    """Compressed bytes per byte from which on the candidate is as good as random.  Entropy-coded literals cost the entropy of
+    the character set, and a table of about 10 bytes and 0.45 a character of the set (measured)."""
+    kinds = len(set(candidate))
+    return min(rule.share, rule.near * (math.log2(max(kinds, 2)) / 8 + (10 + 0.45 * kinds) / len(candidate)))
+
+
+def surroundings(text: str, start: int, end: int, rule: Novelty) -> str:
+    """What stands around a candidate, less other copies of it, also those that reach out of the window."""
+    size, parts = end - start, []
+    for low, high in ((max(0, start - rule.around), start), (end, min(len(text), end + rule.around))):
+        # a copy that is cut by the window's outer edge lies whole in here
+        first, last = (max(0, low - size), high) if high == start else (low, min(len(text), high + size))
+        keep, at = [], low
+        near = text[first:last]
+        copy = near.find(text[start:end])
+        while copy >= 0:
+            keep.append(text[at : max(at, min(first + copy, high))])
+            at = max(at, min(first + copy + size, high))
+            copy = near.find(text[start:end], copy + size)
+        parts.append(" ".join([*keep, text[at:high]]))
+    return "".join(parts)
+
+
+def copies(text: str, strings: set[str], taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans of all copies of the strings inside candidates, but for those within taken ones (in order, by start)."""
+    by_start: dict[str, list[str]] = {}
+    for x in sorted(strings, key=len, reverse=True):
+        by_start.setdefault(x[:LEAST], []).append(x)
+    found, t, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text) if strings else ():
+        at = m.start()
+        while at + LEAST <= m.end():
+            hit = next((x for x in by_start.get(text[at : at + LEAST], ()) if text.startswith(x, at)), None)
+            if hit is None:
+                at += 1
+                continue
+            end = at + len(hit)
+            while t < len(taken) and taken[t][0] <= at:
+                reach = max(reach, taken[t][2])
+                t += 1
+            if reach < end:
+                found.append((at, 3, end, at))
+            at = end
+    return found
+
+
+def uncovered(start: int, end: int, met: list[tuple[int, int, int, int]]) -> int:
+    """Characters from start to end outside the spans (by start)."""
+    free, at = 0, start
+    for low, _, high, _ in met:
+        free += max(0, min(low, end) - at)
+        at = max(at, high)
+    return free + max(0, end - at)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], rule: Novelty) -> list[tuple[int, int, int, int]]:
     found, at, carried, reported = [], 0, -1, -1  # ends of the last run in a sensitive context, and of the last one reported
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
+        if named := NAMED.match(text, start, end):
+            start = named.end()
         while at < len(base) and base[at][2] <= start:
             at += 1
-        met = [x for x in base[max(0, at - 2) : at + 3] if x[0] < end and start < x[2]]
+        last = at
+        while last < len(base) and base[last][0] < end:
+            last += 1
+        met = [x for x in base[max(0, at - 2) : last] if start < x[2]]
         before = max([e for _, kind, e, _ in base[max(0, at - 2) : at] if kind < 2 and e <= start], default=-1)
         since = max(carried, before)
         goes_on = 0 <= since and start - since <= rule.context and GOES_ON.fullmatch(text, since, start)
         if goes_on or any(kind < 2 for _, kind, _, _ in met) or SENSITIVE.search(text, max(0, start - rule.context), start):
             carried = max([end, *[e for _, _, e, _ in met]])
-        if met or carried < end:
+        if carried < end or uncovered(start, end, met) < (LEAST if met else 1):
             continue
-        if not mixed_characters(m.group()):
+        if not mixed_characters(text[start:end]):
             continue
-        around = text[max(0, start - rule.around) : start] + text[end : end + rule.around]
-        if novelty(m.group(), around, rule.level) >= rule.share:
+        if novelty(text[start:end], surroundings(text, start, end, rule), rule.level) >= least_cost(text[start:end], rule):
             found.append((start, 3, end, start))
             in_block = 0 <= reported and start - reported <= rule.context and GOES_ON.fullmatch(text, reported, start)
             if in_block and (last := LAST_LINE.match(text, end)):
                 found.append((last.start(1), 3, last.end(1), last.start(1)))
             reported = end
-    return found
+    strings = {text[s:e] for s, _, e, _ in found if e - s >= LEAST}
+    return found + copies(text, strings, sorted(base + found))
 
 
 def spans(text: str | None, rule: Novelty) -> tuple[list, list]:
