@@ -39,6 +39,7 @@ MANTISSA_BITS = 10
 BAND = 4  # registers of 16 bits: a band is one long
 CHUNK = 64  # nodes of a bucket that are compared with each other at once
 LATER_CHUNK = 1024  # the same where most are in one component already, so few pairs are open
+SLACK = 6  # a pair at the threshold is that far below it with probability 1e-8 at 128 registers
 PROBES = 512
 CACHED_WORDS = 200_000
 U = np.uint64
@@ -123,10 +124,10 @@ def estimates(packed: np.ndarray) -> np.ndarray:
 
 
 def plausible(packed: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs may reach the threshold (four deviations of the estimate below it still may), and the estimates."""
+    """Which pairs may reach the threshold (SLACK deviations of the estimate below it still may), and the estimates."""
     est = estimates(packed)
     least, most = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
-    slack = 4 * np.sqrt(threshold * (1 - threshold) / np.minimum(least, REGISTERS))
+    slack = SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(least, REGISTERS))
     return (est >= threshold - slack) & (least >= threshold * most), est
 
 
@@ -134,7 +135,7 @@ def plausible_with(packed: np.ndarray, sizes: np.ndarray, i: int, others: np.nda
     """``plausible`` of one row with some others."""
     r = np.ascontiguousarray(packed).view(np.uint16)
     agree, e = (r[others] == r[i]).mean(1), collision_rate()
-    slack = 4 * np.sqrt(threshold * (1 - threshold) / np.minimum(np.minimum(sizes[others], sizes[i]), REGISTERS))
+    slack = SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(np.minimum(sizes[others], sizes[i]), REGISTERS))
     return (agree - e) / (1 - e) >= threshold - slack
 
 
