@@ -13,7 +13,8 @@ what stays apart was compared.  Components grow by stars; nothing is collected.
 
 A text without words is linked with nothing and is its own component.  A row without id can be linked, and
 its component is named by the smallest id in it (null if there is none).  Rows that share an id are judged
-by their own texts.  Other columns pass through ``keep_one``.
+by their own texts.  ``keep_one`` keeps exactly one row of each component, also where ids are null or repeated, and every row
+without words; other columns pass through it.
 """
 
 from __future__ import annotations
@@ -332,7 +333,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept."""
+    """Per row: id, n_shingles, component_id, kept (whether the row has the id that names its component)."""
+    return judged(df, id_col, text, percent).select(
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def judged(df: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
+    """Per row: _id, hashed text, n, component_id, and first: whether it has the least id of its component, and of the rows with that id the least hash."""
     threshold = percent / 100
     sketched = written_table(
         sketch(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "_text").select(
@@ -343,7 +351,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     grouped = (
         sketched.filter(F.col("n") > 0)
         .groupBy("fp")
-        .agg(F.min("_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("hashed").alias("hashed"))
+        .agg(F.min(F.struct(F.col("_id").isNull().alias("absent"), "_id", "hashed")).alias("best"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("hashed").alias("hashed"))
     )
     reps = number_rows(grouped, out="node")
     members = reps.select("node", F.posexplode("regs").alias("band", "key"))
@@ -371,20 +379,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", p
     if found.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
 
-    named = reps.select("node", "fp", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = written_table(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "names")
-    by_fp = written_table(named.join(names, "label").select("fp", "component_id"), "components")
-    joined = sketched.select("_id", "fp", "n").join(by_fp, "fp", "left")
-    component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
-    return joined.select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("_id").eqNullSafe(component).alias("kept"),
-    )
+    named = reps.select("node", "fp", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = written_table(named.groupBy("label").agg(F.min("best").alias("best")), "names")
+    by_fp = written_table(named.select("fp", "label").join(names, "label").select("fp", "best"), "components")
+    joined = sketched.select("_id", "hashed", "fp", "n").join(by_fp, "fp", "left")
+    bare = F.col("n") == 0
+    first = bare | F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("hashed") == F.col("best.hashed"))
+    return joined.select("_id", "hashed", "n", F.when(bare, F.col("_id")).otherwise(F.col("best._id")).alias("component_id"), first.alias("first"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of ``df`` that stay when each component keeps one: its row of the smallest id."""
-    judged = near_duplicates(df, id_col, text, percent)
-    gone = judged.filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = written_table(gone, "gone")
-    return join_checked(df.withColumn("_gone", F.col(f"`{id_col}`")), gone, "_gone", "left_anti").select(*df.columns)
+    """The rows of ``df`` that stay when each component keeps one: its row of the smallest id.
+
+    Rows with the same id and text are judged alike, so rows are removed by both; of several that should stay one does."""
+
+    def keyed(frame: DataFrame, name: str, hashed) -> DataFrame:
+        return frame.withColumns({"_absent": F.col(name).isNull(), "_gone": F.coalesce(F.col(name).cast("string"), F.lit("")), "_hashed": hashed})
+
+    on = ["_absent", "_gone", "_hashed"]
+    rows = keyed(judged(df, id_col, text, percent).filter(F.col("n") > 0), "_id", F.col("hashed"))
+    counted = rows.groupBy(*on).agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("c"))
+    marked = written_table(counted.filter(~F.col("first") | (F.col("c") > 1)), "gone")
+    gone, several = marked.filter(~F.col("first")).select(*on), marked.filter("first").select(*on)
+    left = join_checked(keyed(df, f"`{id_col}`", F.xxhash64(f"`{text}`")), gone, on, "left_anti", bound=marked)
+    if several.limit(1).count():
+        one = join_checked(left, several, on, "left_semi", bound=marked).dropDuplicates(on)
+        left = join_checked(left, several, on, "left_anti", bound=marked).unionByName(one)
+    return left.select(*[F.col(f"`{c}`") for c in df.columns])
