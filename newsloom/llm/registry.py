@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, html, lm, minhash, mixing, quality, secrets, topk, toxicity, warc
+from newsloom.llm import bpe, html, lm, minhash, mixing, quality, secrets, topk, toxicity, vectorcodes, warc
 from newsloom.llm.common import table
-from newsloom.session import shared_path
+from newsloom.session import shared_path, written_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -81,6 +81,15 @@ def op10_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    summed = vectorcodes.with_label_error(written_table(coded, "codes"))
+    code = F.lower(F.concat_ws("", F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0"))))
+    return summed.select(
+        F.col("_id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # uses this package in turn
 
