@@ -1,8 +1,10 @@
 """Plain re-statements of the operators' contracts, for small inputs."""
 
 import collections
+import functools
 import hashlib
 import re
+import zlib
 
 import numpy as np
 
@@ -80,3 +82,88 @@ def base_secrets(text):
     counts = collections.Counter(s[3] for s in spans)
     joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
     return counts["assign"], counts["access"], counts["hex"], hashlib.sha256(joined.encode()).hexdigest()
+
+
+def damaged(rows):
+    """rows: (conv, turn, role, text) -> the same after damage."""
+    out = []
+    for conv, turn, role, text in rows:
+        key = f"{' ' if conv is None else conv}:{' ' if turn is None else turn}"
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(key.encode()) % 20
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = re.sub(r"[.!?]", "", text)
+        elif kind == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    return out
+
+
+def cheapest(rows):
+    """rows: (initial, must go, truncated) -> (cost, audit): every edit sequence is tried, states and rest of the rows being all that matters."""
+    step = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    @functools.lru_cache(maxsize=None)
+    def best(at, last, inserted):
+        options = []
+        if at == len(rows):
+            if last in ("", "a"):
+                options.append((0, ""))
+        else:
+            initial, gone, cut = rows[at]
+            cost, rest = best(at + 1, last, 0)
+            options.append((3 + cost, "D" + rest))
+            if not gone:
+                if initial and initial in step[last]:
+                    cost, rest = best(at + 1, initial, 0)
+                    options.append((cut + cost, "K" + rest))
+                for new in "ua":
+                    if new in step[last]:
+                        cost, rest = best(at + 1, new, 0)
+                        options.append((2 + cut + cost, "R" + rest))
+        if inserted < 4:
+            for new in "ua":
+                if new in step[last]:
+                    cost, rest = best(at, new, inserted + 1)
+                    options.append((2 + cost, "I" + rest))
+        return min(options, default=(10**9, ""))
+
+    return best(0, "", 0)
+
+
+def conversations(original):
+    """{conv: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256)}"""
+    groups = {r[0]: [] for r in original}
+    for r in damaged(original):
+        groups[r[0]].append(r[1:])
+    out = {}
+    for conv, rows in groups.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest()))
+        turns = [t for t, _, _ in rows if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        seen, faults = set(), []
+        for _, role, text in rows:
+            stripped = text.strip("\x20\x09\x0a\x0b\x0c\x0d")
+            fault = "b" if not stripped else "d" if (role, text) in seen else "t" if stripped[-1] not in ".!?" else ""
+            seen.add((role, text))
+            faults.append(fault)
+        initials = [r[1][:1] for r in rows]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        cost, audit = cheapest(tuple((i, f in ("b", "d"), int(f == "t")) for i, f in zip(initials, faults, strict=True)))
+        left, kept, last = list(rows), [], ""
+        for letter in audit:
+            new = "a" if last == "u" else "u"
+            if letter == "I":
+                kept.append((new, ""))
+            else:
+                _, role, text = left.pop(0)
+                if letter == "D":
+                    continue
+                kept.append((role, text) if letter == "K" else (new, text))
+            last = kept[-1][0][:1]
+        whole = {"u": "user", "a": "assistant"}
+        joined = "\n".join(f"{whole.get(r, r)}:{t}" for r, t in kept)
+        out[conv] = (gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, hashlib.sha256(joined.encode()).hexdigest())
+    return out
