@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, conversations, html, lm, minhash, mixing, quality, secrets, topk, toxicity, vectorcodes, warc
+from newsloom.llm import bpe, conversations, html, lm, minhash, mixing, ngramjoin, quality, secrets, topk, toxicity, vectorcodes, warc
 from newsloom.llm.common import table
 from newsloom.session import shared_path, written_table
 
@@ -95,6 +95,10 @@ def op12_cheapest_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.summary(conversations.damage(turns), turns)
 
 
+def op13_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # uses this package in turn
 

@@ -39,14 +39,14 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def shingle_set(text):
+def shingle_set(text, width=5):
     found = WORD.findall(lowered(text))
-    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+    return {tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1))} if found else set()
 
 
-def near_components(docs, percent=75):
+def near_components(docs, percent=75, width=5):
     """docs: (doc_id, text) -> {doc_id: (size, component)}; every pair is compared."""
-    sets = {i: shingle_set(t) for i, t in docs}
+    sets = {i: shingle_set(t, width) for i, t in docs}
     owners = collections.defaultdict(set)
     root = {i: i for i in sets}
 
