@@ -340,6 +340,18 @@ def oracle_sql() -> dict[str, str]:
             """select id, case when month = '1995-03' then cast(id % 7 as double) end as sentiment, month
                from (select id, strftime(pubdate, '%Y-%m') as month from articles) where month <> '1995-03' or id % 7 <> 0""",
         ),
+        "delete_whole_month": _with(
+            a,
+            """select id, cast(null as double) as sentiment, month from (select id, strftime(pubdate, '%Y-%m') as month from articles)
+               where month <> '1995-03' and (month <> '1995-04' or id % 3 <> 0)""",
+        ),
+        "move_between_months": _with(
+            a,
+            """select id, cast(null as double) as sentiment,
+                      case when month = '1995-03' or month = '1995-05' and id % 2 = 0
+                           then case when id % 5 = 0 then '2001-01' else '1995-06' end else month end as month
+               from (select id, strftime(pubdate, '%Y-%m') as month from articles)""",
+        ),
         "stored_time_parse": """
             select event_id, case when event_id % 5 <> 0 then date_trunc('second', ts) end as pubdate from events""",
         "frontier_dates_fixed": """

@@ -138,13 +138,25 @@ def version_without_rows(spark, sf):
     return sinks.read_latest(spark, root)
 
 
-@query
-def update_one_month(spark, sf):
-    """Update and delete by key in a table partitioned by month; the other months' files stay as they are."""
+def _months(spark, sf):
+    """A table partitioned by month, and where it lies."""
     name = "newsloom_" + shared_path(spark, "t").rsplit("-", 1)[1]
     base = views.articles(spark, sf).select("id", F.lit(None).cast("double").alias("sentiment"), F.date_format("pubdate", "yyyy-MM").alias("month"))
     sinks.create_if_absent(spark, name, where := shared_path(spark, "months"), base.schema, ["month"])
     base.write.insertInto(name)
+    return base, name, where
+
+
+def _stored_months(spark, name, where):
+    """What the files hold, after the catalog's entry is dropped (the table is external: the files stay)."""
+    spark.sql(f"DROP TABLE {name}")
+    return tables.read_parquet(spark, where).select("id", "sentiment", F.col("month").cast("string").alias("month"))
+
+
+@query
+def update_one_month(spark, sf):
+    """Update and delete by key in a table partitioned by month; the other months' files stay as they are."""
+    base, name, where = _months(spark, sf)
     changes = base.filter(F.col("month") == "1995-03").select("id", "month", (F.col("id") % 7).cast("double").alias("sentiment"))
 
     def change(rows, new):
@@ -152,9 +164,32 @@ def update_one_month(spark, sf):
         return scoring.update_by_key(kept, new.select("id", "sentiment"))
 
     sinks.rewrite_partitions(spark, name, changes, "month", change)
-    whole = tables.read_parquet(spark, where)
-    spark.sql(f"DROP TABLE {name}")  # external: the files stay
-    return whole.select("id", "sentiment", F.col("month").cast("string").alias("month"))
+    return _stored_months(spark, name, where)
+
+
+@query
+def delete_whole_month(spark, sf):
+    """Deleting all ids of a month leaves no partition behind; of the month after it every third row goes."""
+    base, name, where = _months(spark, sf)
+    doomed = base.filter("month = '1995-03' or month = '1995-04' and id % 3 = 0").select("id", "month")
+    sinks.rewrite_partitions(spark, name, doomed, "month", lambda rows, gone: dedup.delete_ids(rows, gone.select("id")))
+    return _stored_months(spark, name, where)
+
+
+@query
+def move_between_months(spark, sf):
+    """Rows that change their month: one month loses some, one all, an existing and a new one gain."""
+    base, name, where = _months(spark, sf)
+    moves = base.filter("month = '1995-03' or month = '1995-05' and id % 2 = 0").select(
+        "id", "month", F.when(F.col("id") % 5 == 0, "2001-01").otherwise("1995-06").alias("to")
+    )
+
+    def change(rows, new):
+        moved = rows.join(new.select("id", "to"), "id", "left")
+        return moved.withColumn("month", F.coalesce("to", "month")).drop("to")
+
+    sinks.rewrite_partitions(spark, name, moves, "month", change)
+    return _stored_months(spark, name, where)
 
 
 @query

@@ -75,19 +75,61 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={stored_versions(spark, root)[-1]}")
 
 
-def rewrite_partitions(spark: SparkSession, table: str, changes: DataFrame, partition: str, change) -> None:
-    """Rewrite only the partitions named in ``changes``.
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
 
-    ``changes`` has the column ``partition`` and whatever ``change(rows, changes)`` needs to give the new rows of those
-    partitions.  The partition values of a change are few by nature (they are folders); the new rows are
-    written beside the table before they take the old ones' place.
+
+def in_partitions(rows: DataFrame, partitions: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose partition is listed (or not, as ``left_anti``); null is a partition like others.
+
+    ``partitions`` has a row per folder of a table, which the driver lists anyway, and so is broadcast.
     """
-    stored = spark.table(table)
-    named = F.broadcast(changes.select(partition).distinct())
-    fresh = written_table(change(stored.join(named, partition, "left_semi"), changes).select(*stored.columns), "partitions")
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        fresh.write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    on = F.lit(True)
+    for c in partitions.columns:
+        on = on & F.col(f"_rows.`{c}`").eqNullSafe(F.col(f"_parts.`{c}`"))
+    return rows.alias("_rows").join(F.broadcast(partitions).alias("_parts"), on, how)
+
+
+def rewrite_partitions(spark: SparkSession, table: str, changes: DataFrame, partition: str | Sequence[str], change) -> None:
+    """Apply ``change`` to the partitions named in ``changes``; the files of all others stay untouched.
+
+    ``changes`` has the partition column (or columns) and whatever ``change(rows, changes)`` needs to give the new rows of those
+    partitions.  The new rows are written beside the table first.  They tell three sets of partitions apart: *gaining* ones, to which rows
+    move from elsewhere, get those appended to what they hold; *changed* ones are replaced; *emptied* ones, for which no
+    row is left, are cleared and dropped.  The sets are taken in this order, so a run that breaks off has lost nothing: at worst
+    a moved row stands in its old partition, too, until the run is repeated with that row's key.
+
+    Rows without a partition value are a partition of their own, also as named in ``changes``.  Naming partitions that do not exist is no error.
+    """
+    stored, named = spark.table(table), [partition] if isinstance(partition, str) else list(partition)
+    levels = partition_columns(spark, table)
+    old = in_partitions(stored, changes.select(*named).distinct())
+    before = written_table(old.select(*levels).distinct(), "touched")
+    fresh = written_table(change(old, changes).select(*stored.columns), "partitions")
+    after = written_table(fresh.select(*levels).distinct(), "landing")
+    gaining = in_partitions(after, before, "left_anti")
+    if gaining.limit(1).count():
+        in_partitions(fresh, gaining).select(*stored.columns).write.insertInto(table)
+    changed = in_partitions(after, before)
+    if changed.limit(1).count():
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        kept = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            in_partitions(fresh, changed).select(*stored.columns).write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set(mode, kept)
+    for row in in_partitions(before, after, "left_anti").collect():  # a row per folder
+        drop_partition(spark, table, row.asDict())
+
+
+def drop_partition(spark: SparkSession, table: str, values: dict) -> None:
+    """Remove a partition's rows and its entry.  Dropping alone would leave the files of a table at a location of its own."""
+
+    def literal(value) -> str:
+        return "null" if value is None else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    spec = ", ".join(f"`{name}` = {literal(value)}" for name, value in values.items())
+    nothing = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()})" for f in spark.table(table).schema if f.name not in values)
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({spec}) SELECT {nothing} WHERE false")
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")

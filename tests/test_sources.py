@@ -107,6 +107,53 @@ def test_only_changed_partitions_are_rewritten(spark, tmp_path):
     spark.sql("DROP TABLE rewritten")
 
 
+@pytest.fixture
+def parted(spark, tmp_path):
+    """A table of two partition levels with a null partition, and what its files and partitions are."""
+    values = [(i, i * 10, ("a", "it's", None)[i % 3], i % 2) for i in range(30)]
+    rows = spark.createDataFrame(values, "id long, v long, part string, half int")
+    sinks.create_if_absent(spark, "parted", str(tmp_path / "p"), rows.schema, ["part", "half"])
+    rows.write.insertInto("parted")
+    yield values, lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "p").rglob("*.parquet")}
+    spark.sql("DROP TABLE parted")
+
+
+def test_emptied_partitions_go(spark, rows, parted, tmp_path):
+    values, files = parted
+    before = files()
+    for part, half in (("it's", 0), (None, 1)):
+        named = spark.createDataFrame([(part, half)], "part string, half int")
+        sinks.rewrite_partitions(spark, "parted", named, ["part", "half"], lambda old, new: old.filter("false"))
+    left = [r for r in values if (r[2], r[3]) not in (("it's", 0), (None, 1))]
+    assert rows(spark.table("parted")) == rows(spark.createDataFrame(left, spark.table("parted").schema))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == len(left)
+    assert spark.sql("SHOW PARTITIONS parted").count() == 4
+    after = files()
+    assert len(after) < len(before) and all(before[f] == t for f, t in after.items())
+
+
+def test_rows_that_move_join_those_that_stay(spark, rows, parted):
+    values, files = parted
+    before = files()
+
+    def change(old, new):
+        return old.withColumn("part", F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "new").otherwise(F.col("part")))
+
+    sinks.rewrite_partitions(spark, "parted", spark.createDataFrame([(None,)], "part string"), "part", change)
+    want = [(i, v, p if p is not None else "a" if i % 4 == 0 else "new" if i % 4 == 1 else None, h) for i, v, p, h in values]
+    assert rows(spark.table("parted")) == rows(spark.createDataFrame(want, spark.table("parted").schema))
+    after = files()
+    # what the gaining partitions held stays in its files
+    assert all(f in after and after[f] == t for f, t in before.items() if "__HIVE_DEFAULT" not in str(f))
+
+
+def test_partitions_that_are_not_there(spark, rows, parted):
+    values, files = parted
+    before = files()
+    sinks.rewrite_partitions(spark, "parted", spark.createDataFrame([("none",)], "part string"), "part", lambda old, new: old)
+    assert files() == before and spark.table("parted").count() == len(values)
+
+
 def test_lexicon_files(spark, rows, tmp_path):
     df = spark.createDataFrame([("gut", 0.5), ("schlecht", -0.5)], schemas.LEXICON)
     sinks.write_csv(df, str(tmp_path / "csv"))
