@@ -167,3 +167,30 @@ def conversations(original):
         joined = "\n".join(f"{whole.get(r, r)}:{t}" for r, t in kept)
         out[conv] = (gaps, faults.count("b"), faults.count("d"), faults.count("t"), illegal, cost, audit, hashlib.sha256(joined.encode()).hexdigest())
     return out
+
+
+def vector_codes(rows, entries=256, rounds=4):
+    """rows: (vec_id, vector, label) -> {vec_id: (code, error, label_error)} and the codebooks' digest; every entry is compared."""
+    rows = sorted((r for r in rows if r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])), key=lambda r: r[0])
+    x = np.array([[int(np.floor(np.float64(c) * 1024)) for c in r[1]] for r in rows])
+    step = x.shape[1] // 4
+    parts = [x[:, p * step : (p + 1) * step] for p in range(4)]
+    books = [part[:entries].copy() for part in parts]
+
+    def assigned(part, book):
+        away = ((part[:, None, :] - book[None]) ** 2).sum(2)
+        return away.argmin(1), away.min(1)
+
+    for _ in range(rounds):
+        for part, book in zip(parts, books, strict=True):
+            index, _ = assigned(part, book)
+            for e in np.unique(index):
+                own = part[index == e]
+                book[e] = [int(s) // len(own) for s in own.sum(0)]
+    found = [assigned(part, book) for part, book in zip(parts, books, strict=True)]
+    errors = sum(e for _, e in found)
+    by_label = collections.Counter()
+    for r, e in zip(rows, errors, strict=True):
+        by_label[r[2]] += int(e)
+    digest = hashlib.sha256(",".join(str(c) for b in books for c in b.ravel().tolist()).encode()).hexdigest()
+    return {r[0]: ("".join(f"{i[k]:02x}" for i, _ in found), int(errors[k]), by_label[r[2]]) for k, r in enumerate(rows)}, digest

@@ -38,7 +38,7 @@ def run(spark, sf_dir, name):
 
 def test_names_and_order():
     names = list(registry.queries())
-    assert [n for n in names if n == "pipeline"] and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert [n for n in names if n == "pipeline"] and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if n != "pipeline") == list(range(1, 14))
 
 
 def test_op1(spark, sf_dir, rows_of):
@@ -188,3 +188,19 @@ def test_pipeline(spark, sf_dir):
             assert all(brute.base_secrets(t)[:3] == (0, 0, 0) and n == len(t) for _, t, n in after)
     tokens = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
     assert tokens.count() == kept.count() and min(r["n_tokens"] for r in tokens.collect()) > 0
+
+
+def test_op11(spark, sf_dir, rows_of):
+    want, digest = brute.vector_codes(rows_of("embeddings", "vec_id, embedding, label"))
+    got = {r["vec_id"]: tuple(r)[1:] for r in run(spark, sf_dir, "op11_gnat_codes")}
+    assert got == {i: (*v, digest) for i, v in want.items()}
+
+
+def test_op12(spark, sf_dir, rows_of):
+    got = {r["conv_id"]: tuple(r)[1:] for r in run(spark, sf_dir, "op12_cheapest_edits")}
+    assert got == brute.conversations(rows_of("conversations", "conv_id, turn, role, text"))
+
+
+def test_op13(spark, sf_dir, docs):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, sf_dir, "op13_prefix_join")}
+    assert got == brute.near_components(docs, 90, 3)
