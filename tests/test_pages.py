@@ -109,15 +109,98 @@ def test_implied_ends_and_broken_sections(html, subtitle, body):
     assert markup.first_elements(html, [(".s", None), (".b", None)]) == [subtitle, body]
 
 
-@pytest.mark.parametrize("html", ["<b></i>" * 20_000, "<article>" * 20_000, "<p>" * 20_000, "<li><b>" * 20_000, "<p><b>" * 10_000 + "<div>" * 10_000])
-def test_unbalanced_pages_are_read_in_linear_time(html):
+LONG = (
+    "<a ", "<a b='", "<!--", "</", "<b></i>", "<article>", "<p>", "<li><b>", "<p><b>", "<b><div></b>", "<script>", "<table>x", "<td>", "</x>",
+    "<x>", "<a href=1>", "<i><span><div>", "<p></b>", "&amp",
+)
+
+
+@pytest.mark.parametrize("piece", LONG)
+def test_pages_are_read_in_linear_time(piece):
+    def taken(size):
+        page = piece * (size // len(piece))
+        start = time.perf_counter()
+        markup.first_elements(page, [(".s", None)])
+        markup.first_links(page, "article")
+        return time.perf_counter() - start
+
+    small, large = taken(50_000), taken(400_000)
+    assert large < 30 * small + 0.5 and large < 30
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b='", "<!--", "</"])
+def test_tags_without_end_take_no_time(piece):
+    start = time.perf_counter()
+    markup.first_elements(piece * (100_000 // len(piece)), [(".s", None)])
+    assert time.perf_counter() - start < 0.2
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<p><b>" * 10_000 + "<div>" * 10_000, "<i>" + "<span><div>" * 4000 + "</i>" * 4000, "<b>" + "<div>" * 6000 + "</b>" * 3000, "<x>" * 9000 + "</y>" * 9000],
+)
+def test_misnested_pages_are_read_in_linear_time(html):
     start = time.perf_counter()
     markup.first_elements(html, [(".s", None)])
-    markup.first_links(html, "article")
     assert time.perf_counter() - start < 10
 
 
-def test_a_page_the_parser_gives_up_on_is_a_reject(spark, monkeypatch):
+def tree(html):
+    parts = {0: lambda t: t, 1: lambda e: f"<{e.name}>", -1: lambda e: "" if e.name in markup.VOID else f"</{e.name}>"}
+    return "".join(parts[kind](item) for kind, item in markup.Tree(html).events())
+
+
+@pytest.mark.parametrize(
+    "html, repaired",
+    [
+        # text and elements in tables outside cells come before the table
+        ("<table>a<tr><td>b</td></tr>c</table>d", "ac<table><tbody><tr><td>b</td></tr></tbody></table>d"),
+        ("<table> <div>q</div><tr><td>1</table>", "<div>q</div><table> <tbody><tr><td>1</td></tr></tbody></table>"),
+        ("<table><tr><b>x</tr></table>y", "<b>x</b><table><tbody><tr></tr></tbody></table><b>y</b>"),
+        ("<table><td>x<td>y<tr><th>z</table>", "<table><tbody><tr><td>x</td><td>y</td></tr><tr><th>z</th></tr></tbody></table>"),
+        ("<table><tr><td>1<table><tr><td>2</table>3</table>4", "<table><tbody><tr><td>1<table><tbody><tr><td>2</td></tr></tbody></table>3</td></tr></tbody></table>4"),
+        ("<td>x</td></tr>y", "xy"),
+        # ends without start
+        ("x</p>y</br>z</div>", "x<p></p>y<br>z"),
+        # formatting goes on in the next block, and leaves blocks that outlive it
+        ("<p>1<b>2<p>3</b>4", "<p>1<b>2</b></p><p><b>3</b>4</p>"),
+        ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+        ("<b>1<p>2</b>3</p>", "<b>1</b><p><b>2</b>3</p>"),
+        ("<i><div><b>x</i>y</b></div>", "<i></i><div><i><b>x</b></i><b>y</b></div>"),
+        ("<font><p>hello<b>cruel</font>world", "<font></font><p><font>hello<b>cruel</b></font><b>world</b></p>"),
+        ("<a>a<table><a>b</table>c", "<a>a<a>b</a><table></table></a><a>c</a>"),
+        ("<a href=1>x<a href=2>y", "<a>x</a><a>y</a>"),
+        ("<b><b><b><b>x</b></b></b></b>y", "<b><b><b><b>x</b></b></b></b>y"),
+        ("<b><div>1<table><tr><td>2</b>3</table>4</div>5", "<b><div>1<table><tbody><tr><td>23</td></tr></tbody></table>4</div>5</b>"),
+        # implied ends
+        ("<ul><li>1<div><li>2</div><li>3</ul>", "<ul><li>1<div></div></li><li>2</li><li>3</li></ul>"),
+        ("<ul><li>1<blockquote><li>2</blockquote><li>3</ul>", "<ul><li>1<blockquote><li>2</li></blockquote></li><li>3</li></ul>"),
+        ("<dl><dt>1<dd>2<dt>3</dl>", "<dl><dt>1</dt><dd>2</dd><dt>3</dt></dl>"),
+        ("<h1>a<h2>b</h1>c", "<h1>a</h1><h2>b</h2>c"),
+        ("<p>1<button><p>2</button>3", "<p>1<button><p>2</p></button>3</p>"),
+        ("<pre>\nx\n</pre><textarea>\n<b></textarea>", "<pre>x\n</pre><textarea><b></textarea>"),
+        ("<head><title>t&amp;</title>x<body class=b>y</body>z", "<head><title>t&</title></head>x<body>yz</body>"),
+        ("a<!-->b<!-- > --!>c<!x>d</ e>f<?g>h", "abcdfh"),
+        ("1 < 2 <3 <", "1 < 2 <3 <"),
+    ],
+)
+def test_trees_are_repaired_as_browsers_do(html, repaired):
+    assert tree(html) == repaired
+
+
+def test_attributes_and_references():
+    html = """<a href="/x?a=1&copy=2&lt;3&amp;b" CLASS='one two' href=second data="it's">x</a><b class=a"b>y</b>"""
+    assert first_elements(html, [(".two", "href"), ("a", "data"), ("b", "class")]) == ["/x?a=1&copy=2<3&b", "it's", 'a"b']
+
+
+def test_fields_of_broken_articles(spark):
+    """A body that its table and formatting would have torn apart."""
+    broken = page().replace("Erster <div>innen</div>", "<b>Erster <table>vorn <tr><td>innen</b></table></p>")
+    row = extract.accepted(read(spark, broken)).first()
+    assert row.body.split() == ["Erster", "vorn", "innen", "Rest"]
+
+
+def test_a_page_without_elements_is_a_reject(spark):
     assert markup.first_elements("<![CDATA[ <b>", [("b", None)]) == [None] and markup.first_links("<!", "a") == []
     bad = spark.createDataFrame([("/a", page()), ("/b", "<![foo[ x ]]><!doctype [<"), ("/c", None)], schemas.PAGES)
     read = extract.read_articles(bad)
