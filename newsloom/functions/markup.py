@@ -182,13 +182,19 @@ class Tree:
     def _push(self, node: Node) -> None:
         node.at = len(self.open)
         self.open.append(node)
-        for places in self._lists(node.name):
-            places.append(node.at)
+        self.places.setdefault(node.name, []).append(node.at)
+        if node.name in SPECIAL:
+            self.special.append(node.at)
+            if node.name not in THROUGH:
+                self.walls.append(node.at)
 
     def _pop(self) -> None:
         node = self.open.pop()
-        for places in self._lists(node.name):
-            places.pop()
+        self.places[node.name].pop()
+        if node.name in SPECIAL:
+            self.special.pop()
+            if node.name not in THROUGH:
+                self.walls.pop()
         node.at = -1
         if node.name in MARKED:
             while self.formatting and self.formatting.pop() is not None:
@@ -257,11 +263,11 @@ class Tree:
     # what tags and text do
 
     def _text(self, text: str) -> None:
-        top, blank = self.open[-1].name, _BLANK.match(text)
-        if top in TABLE_PARTS and blank:
+        top = self.open[-1].name
+        if (top == "head" or top in TABLE_PARTS) and _BLANK.match(text):
             self._place(text, inside=True)
             return
-        if top == "head" and not blank:
+        if top == "head":
             self._pop()
         self._reopen()
         self._place(text)

@@ -107,6 +107,49 @@ def test_only_changed_partitions_are_rewritten(spark, tmp_path):
     spark.sql("DROP TABLE rewritten")
 
 
+def test_csv_of_many_layouts(spark, rows, tmp_path):
+    """Plain and compressed files at two depths, hidden and empty ones, in one scan; the driver opens none."""
+    folder = tmp_path / "many"
+    (folder / "deep").mkdir(parents=True)
+    want = []
+    for i in range(300):
+        at = folder / ("deep" if i % 2 else "") / f"f{i:03}.csv"
+        url = f'/story "{i}", more'
+        layout = i % 3
+        frame = {"url": [url], "datum": [DAY], "downloaded": [i]}
+        if layout == 0:
+            pd.DataFrame(frame).to_csv(at, index=False)
+        elif layout == 1:
+            pd.DataFrame({"downloaded": [i], "other": ["x"], "url": [url]}).to_csv(at)  # with an index
+        else:
+            pd.DataFrame(frame).to_csv(f"{at}.gz", index=False)
+        want.append((url, None if layout == 1 else DAY, i))
+    (folder / "empty.csv").write_text("")
+    (folder / "bare.csv").write_text("url,datum,downloaded\n")
+    (folder / "_hidden.csv").write_text("url\n/no\n")
+    (folder / "blank.csv").write_text("\n \n\ufeffurl,downloaded\n/late,7\nurl,downloaded\n")
+    got = tables.read_csv(spark, str(folder), schemas.FRONTIER)
+    assert rows(got) == rows(spark.createDataFrame([*want, ("/late", None, 7), ("url", None, None)], schemas.FRONTIER))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan csv") == 1 and "Union" not in plan
+
+
+def test_csv_headers_over_lines(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text('"two\nlines",url\nx,"/a\nb"\n')
+    (tmp_path / "b.csv").write_text('url,"two\nlines"\n/c,y\n')
+    (tmp_path / "c.csv").write_text('"two\nother",url\n/no,/d\n')
+    got = tables.read_csv(spark, str(tmp_path), schemas.FRONTIER, ["url"], multi_line=True)
+    assert rows(got) == [("/a\nb",), ("/c",), ("/d",)]
+
+
+def test_csv_of_a_known_header(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text("n,url\n1,/a\n2\n3,/c,more\n")
+    got = tables.read_csv(spark, str(tmp_path), schemas.FRONTIER, ["url"], header=["n", "url"])
+    assert rows(got) == [(None,), ("/a",), ("/c",)]
+    (tmp_path / "none").mkdir()
+    assert rows(tables.read_csv(spark, str(tmp_path / "none"), schemas.FRONTIER)) == []
+
+
 @pytest.fixture
 def parted(spark, tmp_path):
     """A table of two partition levels with a null partition, and what its files and partitions are."""
