@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +17,18 @@ def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
     """Measure ``df`` in one distributed aggregate: few enough rows, and few enough bytes."""
-    fixed = 16 + 16 * sum(not isinstance(f.dataType, T.StringType) for f in df.schema)
-    width = F.lit(fixed)
+    width = F.lit(16)
     for f in df.schema:
-        if isinstance(f.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            # eight bytes an element, or what it takes as text
+            fixed = isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType, T.DateType))
+            size = 24 + 8 * F.greatest(F.size(value), F.lit(0)) if fixed else F.octet_length(F.to_json(F.struct(value)))
+            width = width + F.coalesce(size, F.lit(0))
+        else:
+            width = width + 16
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
@@ -63,6 +72,17 @@ def salted_join(
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi join in which null equals null; the key columns are those of ``left``."""
+    both = F.lit(True)
+    for c in on:
+        both = both & F.col(f"_left.`{c}`").eqNullSafe(F.col(f"_right.`{c}`"))
+    joined = left.alias("_left").join(right.alias("_right"), both, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select(*[F.col(f"_left.`{c}`") for c in left.columns], *[F.col(f"_right.`{c}`") for c in right.columns if c not in on])
+
+
 def with_prices(df: DataFrame, prices: DataFrame, day: str = "pubdate", date: str = "date") -> DataFrame:
     """Rows on days with a price, next to it.  A day may hold any share of the rows: prices are broadcast once
     measured to be small, else each day is spread over salted tasks."""

@@ -422,6 +422,13 @@ def oracle_sql() -> dict[str, str]:
                        row_number() over (partition by title, subtitle order by id) as place from articles)
                where copies = 1 or place = 2""",
         ),
+        "dedup_incremental": _with(
+            a,
+            """select id, title, subtitle from
+               (select *, count(*) over (partition by title, subtitle) as copies,
+                       row_number() over (partition by title, subtitle order by id) as place from articles)
+               where copies = 1 or place = 2""",
+        ),
         "write_new_version": _with(
             a,
             """select id, title, subtitle from

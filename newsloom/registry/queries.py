@@ -17,7 +17,7 @@ from newsloom.plans import sentiment as sentiment_plans
 from newsloom.plans import collection, trends
 from newsloom.registry import scorer, views
 from newsloom.session import shared_path, written_table
-from newsloom.sources import feather, sinks, tables
+from newsloom.sources import feather, increments, sinks, tables
 
 cloudpickle.register_pickle_by_value(scorer)
 
@@ -713,6 +713,17 @@ def article_quantiles(spark, sf):
     return extremes.exact_quantiles(views.table(spark, sf, "events"), "value").drop("q")
 
 
+@query
+def dedup_incremental(spark, sf):
+    """Two batches, one after the other, give what all rows at once give."""
+    articles = views.articles(spark, sf).select("id", "title", "subtitle")
+    middle = articles.agg(F.floor(F.avg("id"))).first()[0] or 0
+    root = shared_path(spark, "batches")
+    increments.append_batch(spark, root, articles.filter(F.col("id") <= middle), 1)
+    increments.append_batch(spark, root, articles.filter(F.col("id") > middle), 2)
+    return increments.read_batches(spark, root)
+
+
 @query
 def dedup_second_oldest(spark, sf):
     return dedup.dedup_second_oldest(views.articles(spark, sf))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom import schemas
+from newsloom.operators.joins import null_safe_join
 from newsloom.operators.keys import next_key, number_rows
 from newsloom.session import written_table
 
@@ -62,12 +63,12 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("error").parquet(f"{root}/version={version}")
 
 
-def stored_versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the versions below ``root``, from the folder names alone."""
+def stored_versions(spark: SparkSession, root: str, name: str = "version") -> list[int]:
+    """Numbers of the versions below ``root``, from the folder names alone; none if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [entry.getPath().getName() for entry in listed]
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in store.listStatus(path)] if store.exists(path) else []
+    return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
@@ -84,10 +85,7 @@ def in_partitions(rows: DataFrame, partitions: DataFrame, how: str = "left_semi"
 
     ``partitions`` has a row per folder of a table, which the driver lists anyway, and so is broadcast.
     """
-    on = F.lit(True)
-    for c in partitions.columns:
-        on = on & F.col(f"_rows.`{c}`").eqNullSafe(F.col(f"_parts.`{c}`"))
-    return rows.alias("_rows").join(F.broadcast(partitions).alias("_parts"), on, how)
+    return null_safe_join(rows, F.broadcast(partitions), partitions.columns, how)
 
 
 def rewrite_partitions(spark: SparkSession, table: str, changes: DataFrame, partition: str | Sequence[str], change) -> None:
