@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from newsloom.functions.dates import day, day_path, stored_time
 from newsloom.functions.text import absolute_url
-from newsloom.operators.joins import join_checked
+from newsloom.operators import bloom
+from newsloom.operators.joins import fits_broadcast, join_checked
 
 # Fixed values of ``downloaded``.
 TODO, DONE, FAILED = 0, 1, 2
@@ -81,10 +82,14 @@ def without_absolute(frontier: DataFrame, base: str) -> DataFrame:
 
 
 def not_collected(frontier: DataFrame, collected: DataFrame) -> DataFrame:
-    """Drop addresses that already have an article."""
+    """Drop addresses that already have an article.
+
+    Few stored addresses (measured) are broadcast; beyond that a Bloom filter of them is, and only rows that may have an article move.
+    """
     stored = collected.select("url")
-    known = stored.dropna().distinct()
-    return join_checked(frontier, known, "url", "left_anti", collapse=True, bound=stored)
+    if fits_broadcast(stored):
+        return frontier.join(F.broadcast(stored.dropna().distinct()), "url", "left_anti")
+    return bloom.without_keys(frontier, stored, "url")
 
 
 def pending(frontier: DataFrame, collected: DataFrame, base: str) -> DataFrame:

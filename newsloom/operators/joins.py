@@ -52,6 +52,11 @@ def join_checked(
     """
     if fits_broadcast(small if bound is None else bound):
         return big.join(F.broadcast(small), on, how)
+    return shuffled_join(big, small, on, how, collapse)
+
+
+def shuffled_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", collapse: bool = False) -> DataFrame:
+    """Both sides are shuffled; ``collapse`` as in ``join_checked``."""
     if not collapse:
         return big.join(small, on, how)
     folded = big.groupBy(*big.columns).agg(F.count(F.lit(1)).alias("_copies"))

@@ -252,6 +252,9 @@ def oracle_sql() -> dict[str, str]:
         "collected_removed": _with(
             ["frontier", "collected"], "select * from frontier where url not in (select url from collected)"
         ),
+        "collected_removed_large": _with(
+            ["frontier", "collected"], "select * from frontier where url not in (select url from collected)"
+        ),
         "lexicon_hits": _with(
             ["words", "lex"],
             """select w.id, w.word, l.value, count(*) as n from words w join lex l on l.word = w.word

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom import schemas
 from newsloom.functions import dates, scores, text
-from newsloom.operators import counts, dedup, extract, extremes, frontier, scoring, sentiment, tags
+from newsloom.operators import bloom, counts, dedup, extract, extremes, frontier, scoring, sentiment, tags
 from newsloom.operators.joins import repeat_rows, with_prices
 from newsloom.plans import sentiment as sentiment_plans
 from newsloom.plans import collection, trends
@@ -454,6 +454,13 @@ def collected_removed(spark, sf):
     return frontier.not_collected(views.frontier(spark, sf, links), views.collected(links))
 
 
+@query
+def collected_removed_large(spark, sf):
+    """The same where stored addresses are too many to broadcast: a Bloom filter tells which rows need the exact join."""
+    links = views.stored_links(spark, sf)
+    return bloom.without_keys(views.frontier(spark, sf, links), views.collected(links), "url")
+
+
 @query
 def lexicon_hits(spark, sf):
     words = sentiment.article_words(views.wide_articles(spark, sf), "id")
