@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.session import written_table
@@ -37,57 +38,84 @@ def with_ends(quantiles: DataFrame) -> DataFrame:
     return quantiles.select(F.get("q", F.lit(0)).alias("low"), F.element_at("q", -1).alias("high"), "q")
 
 
+# Buckets of a pass: parts of each power of two in the first one, even parts of a bucket in those that follow.
+_FIRST_PARTS, _PARTS = 64, 4096
+
+
+def _first_bucket(v: Column) -> Column:
+    """A number that never falls as ``v`` grows: by sign and power of two, then by parts of it; NaN is the largest value."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    part = F.floor((size / F.pow(F.lit(2.0), power.cast("double")) - 1) * _FIRST_PARTS)
+    place = (power + 2000) * _FIRST_PARTS + F.greatest(F.lit(0), F.least(F.lit(_FIRST_PARTS - 1), part))
+    ends = F.when(F.isnan(v), 10**6).when(v == float("inf"), 10**6 - 1).when(v == float("-inf"), 1 - 10**6)
+    return ends.when(v == 0, 0).otherwise(F.signum(v).cast("long") * place).cast("long")
+
+
+def _holders(buckets: list, start: int, ranks: Sequence[int]) -> list[tuple]:
+    """(least value, largest value, rows before, rows) of the buckets, in order, that hold the wanted ranks."""
+    out, before = [], start
+    for row in sorted(buckets, key=lambda r: r["bucket"]):
+        if any(before <= r < before + row["n"] for r in ranks):
+            out.append((row["low"], row["high"], before, row["n"]))
+        before += row["n"]
+    return out
+
+
+def values_at(df: DataFrame, value: str, weight: str | None, wanted) -> tuple[int, dict[int, float]]:
+    """Number of values, and the values at the ranks that ``wanted`` gives for that number, by radix selection.
+
+    A first pass counts values by power of two and parts of it.  Rows of the buckets that hold wanted ranks are written, and each further pass
+    counts such a bucket in even parts, until its least and largest value are one: at most five passes, since all values of a bucket have one exponent.
+    The driver sees counts of buckets only, whose number the constants bound.
+    """
+    v = F.col(f"`{value}`").cast("double")
+    n = F.col(f"`{weight}`").cast("long") if weight else F.lit(1).cast("long")
+    rows = df.select(v.alias("v"), n.alias("n")).filter("v is not null and n > 0")
+    counted = [F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+    first = rows.groupBy(_first_bucket(F.col("v")).alias("bucket")).agg(*counted).collect()
+    total, found = sum(r["n"] for r in first), {}
+    if total == 0:
+        return 0, found
+    ranks = sorted(set(wanted(total)))
+    held = _holders(first, 0, ranks)
+    stored = None
+    while True:
+        # values that floats cannot part (one value, the two zeros, NaN) are what stands at all ranks of their bucket
+        found |= {r: low for low, high, before, size in held if not low < high for r in ranks if before <= r < before + size}
+        held = [h for h in held if h[0] < h[1]]
+        if not held:
+            return total, found
+        within = [F.col("v").between(low, high) for low, high, _, _ in held]
+        inside = functools.reduce(operator.or_, within)
+        stored = written_table(rows.filter(inside), "values") if stored is None else stored.filter(inside)
+        of, part = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for k, (low, high, _, _) in enumerate(held):
+            even = F.floor((F.col("v") - low) / F.lit(high - low) * _PARTS)
+            of, part = F.when(within[k], k).otherwise(of), F.when(within[k], F.least(F.lit(_PARTS - 1), even)).otherwise(part)
+        parts = stored.groupBy(of.alias("of"), part.alias("bucket")).agg(*counted).collect()
+        held = [h for k, (_, _, before, _) in enumerate(held) for h in _holders([r for r in parts if r["of"] == k], before, ranks)]
+
+
 def exact_quantiles(
     df: DataFrame, value: str, weight: str | None = None, probs: Sequence[float] = QUANTILES
 ) -> DataFrame:
-    """As ``group_quantiles`` for frames of any size (one row per article, or per day and free-text label).
+    """As ``group_quantiles`` for frames of any size (one row per article, or per day and free-text label): nothing is sorted, and no
+    task or driver holds more than counts of buckets."""
 
-    Distinct values are counted, written in range-partitioned slices and ranked by running sums
-    inside each slice plus the size of the slices before it; only the rows at the wanted ranks
-    (two per quantile) meet in one task.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n")
-    ).filter(F.col("n") > 0)
-    sliced = written_table(
-        counted.repartitionByRange("v").withColumn("slice", F.spark_partition_id()), "values"
-    )
-    # one row per slice, so this unpartitioned window is as small as the number of partitions
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sliced.groupBy("slice").agg(F.sum("n").alias("size")).select(
-        "slice",
-        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"),
-        F.sum("size").over(Window.partitionBy(F.lit(1))).alias("total"),
-    )
-    inside = Window.partitionBy("slice").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = sliced.withColumn("running", F.sum("n").over(inside)).join(
-        F.broadcast(starts), "slice"
-    )
-    ranked = ranked.select(
-        "v",
-        (F.col("start") + F.col("running") - F.col("n")).alias("first"),
-        (F.col("start") + F.col("running") - 1).alias("last"),
-        "total",
-    )
-    ends = []
-    for p in probs:
-        at = (F.col("total") - 1) * F.lit(float(p))
-        ends += [(F.floor(at), at), (F.ceil(at), at)]
-    holds = [(F.col("first") <= rank) & (rank <= F.col("last")) for rank, _ in ends]
-    wanted = ranked.filter(functools.reduce(operator.or_, holds))
-    picked = wanted.agg(
-        F.first("total").alias("total"),
-        *[F.max(F.when(hold, F.col("v"))).alias(f"v{i}") for i, hold in enumerate(holds)],
-    )
+    def wanted(total: int) -> list[int]:
+        return [f(at) for p in probs for at in ((total - 1) * float(p),) for f in (math.floor, math.ceil)]
+
+    total, at_rank = values_at(df, value, weight, wanted)
 
-    def between(i: int, p: float) -> Column:
-        at = (F.col("total") - 1) * F.lit(float(p))
-        low, high = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
-        return F.round(low + (high - low) * (at - F.floor(at)), _DECIMALS)
+    def between(p: float) -> Column:
+        if total == 0:
+            return F.lit(None).cast("double")
+        at = (total - 1) * float(p)
+        low, high = at_rank[math.floor(at)], at_rank[math.ceil(at)]
+        return F.round(F.lit(low if low == high else low + (high - low) * (at - math.floor(at))), _DECIMALS)
 
-    return with_ends(picked.select(F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q")))
+    return with_ends(df.sparkSession.range(1).select(F.array(*[between(p) for p in probs]).alias("q")))
 
 
 def bounded_thresholds(quantiles: DataFrame, floor: float) -> DataFrame:

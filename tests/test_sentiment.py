@@ -99,6 +99,46 @@ def test_exact_quantiles_with_one_value_in_most_rows(spark):
     assert (row.low, row.high) == pytest.approx(tuple(np.quantile(values, [0.05, 0.95])))
 
 
+VALUES = {
+    "equal": [3.25] * 500,
+    "zeros": [0.0, -0.0] * 40 + [1e-320, -1e-320],
+    "all sizes": [s * 10.0**e for e in range(-300, 300, 7) for s in (1, -1, 3)],
+    "neighbours": [1.0 + k * 2.0**-52 for k in range(300)] + [2.0 - 2.0**-52, 2.0],
+    "few far": [1.0] * 300 + [1e300, -1e300, float("inf"), float("-inf")],
+    "powers": [2.0**k for k in range(-1070, 1023, 3)],
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_radix_selection_finds_every_rank(spark, name):
+    df = spark.createDataFrame([(v,) for v in VALUES[name]] + [(None,)], "v double").repartition(3)
+    total, found = extremes.values_at(df, "v", None, lambda n: range(0, n, max(1, n // 40)))
+    assert total == len(VALUES[name]) and found == {r: sorted(VALUES[name])[r] for r in range(0, total, max(1, total // 40))}
+
+
+def test_radix_selection_of_random_values(spark):
+    values = np.random.RandomState(2).standard_cauchy(20_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(6)
+    want = np.quantile(values, [0.05, 0.5, 0.95])
+    assert list(extremes.exact_quantiles(df, "v", probs=(0.05, 0.5, 0.95)).first()["q"]) == pytest.approx(list(want), abs=1e-9)
+    nothing = extremes.exact_quantiles(df.filter("v is null"), "v").first()
+    assert (nothing.low, nothing.high) == (None, None)
+    odd = spark.createDataFrame([(1.0, 2), (float("nan"), 1), (2.0, 0), (3.0, None)], "v double, n int")
+    total, found = extremes.values_at(odd, "v", "n", range)
+    assert total == 3 and found[0] == found[1] == 1.0 and found[2] != found[2]
+
+
+def test_quantiles_neither_sort_nor_sample(spark, monkeypatch):
+    """Only rows of the buckets that hold wanted ranks are written."""
+    df = spark.range(100_000).select((F.col("id") * 0.37).alias("v"))
+    sizes = []
+    plain = extremes.written_table
+    monkeypatch.setattr(extremes, "written_table", lambda d, name: sizes.append(plain(d, name)) or sizes[-1])
+    row = extremes.exact_quantiles(df, "v").first()
+    assert (row.low, row.high) == pytest.approx((4999.95 * 0.37, 94999.05 * 0.37))
+    assert len(sizes) == 1 and sizes[0].count() < 3000
+
+
 def test_weights_repeat_rows(spark):
     df = spark.createDataFrame([(1.0, 7), (2.0, 1), (5.0, 3)], "v double, n long")
     row = extremes.group_quantiles(df, "v", weight="n").first()
