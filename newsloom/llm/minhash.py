@@ -6,11 +6,15 @@ share a band are compared by registers (corrected for registers that agree by ch
 reach the threshold is confirmed on the full shingle sets.
 
 Equal word sequences are one node throughout, so copies cost one row each.  Buckets with the same members
-are taken once.  A large bucket is cut into chunks that all hold its smallest node, and a first round
-confirms a spanning forest of each chunk.  In the second round, members that are not in the bucket's main
-component meet all chunks of the bucket, and every plausible pair of different components is confirmed:
+are taken once.  A first round compares every node with the smallest node of each of its buckets, each such pair once.  Only buckets whose
+nodes are then still in several components go on, and only there do registers travel with the rows: a second round cuts them into
+small chunks and confirms a spanning forest of each; in the third, members outside the bucket's main component meet all members, both
+cut into blocks, so a task holds two blocks of bounded size at a time, and every plausible pair of different components is confirmed:
 what stays apart was compared.  Components grow by stars; nothing is collected.
 
+Members of sets are 64-bit hashes: two different shingles of a pair of texts are taken for one with probability below 1e-13 for texts of a
+thousand words.  Equal word sequences and buckets with the same members are recognised by 128 bits.
+
 A text without words is linked with nothing and is its own component.  A row without id can be linked, and
 its component is named by the smallest id in it (null if there is none).  Rows that share an id are judged
 by their own texts.  ``keep_one`` keeps exactly one row of each component, also where ids are null or repeated, and every row
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import lower_words, ready_for_python
-from newsloom.operators.joins import join_checked
+from newsloom.operators.joins import fits_broadcast, join_checked, salted_join
 from newsloom.operators.keys import number_rows
 from newsloom.session import written_table
 
@@ -192,10 +196,11 @@ def sets_of(df: DataFrame, text: str) -> DataFrame:
 
 
 GROUP = ["band", "key", "chunk"]
+BLOCKS = ["band", "key", "home", "guest"]
 
 
-def by_group(frame: DataFrame, of_group, schema: str) -> DataFrame:
-    """``of_group`` over the rows of each chunk; rows come sorted, so a group ends where its key changes."""
+def by_group(frame: DataFrame, group: list[str], of_group, schema: str) -> DataFrame:
+    """``of_group`` over the rows of each group; rows come sorted, so a group ends where its key changes."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +209,7 @@ def by_group(frame: DataFrame, of_group, schema: str) -> DataFrame:
             if len(batch) == 0:
                 continue
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            keys = rows[GROUP].to_numpy()
+            keys = rows[group].to_numpy()
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()]
             out = [r for a, b in zip(edges, edges[1:], strict=False) for r in of_group(rows.iloc[a:b])]
             rest = rows.iloc[edges[-1] :]
@@ -212,36 +217,67 @@ def by_group(frame: DataFrame, of_group, schema: str) -> DataFrame:
         if rest is not None:
             yield pd.DataFrame(of_group(rest), columns=names, dtype="int64")
 
-    return frame.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(run, schema)
+    return frame.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, schema)
+
 
+def pivot_pairs(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Plausible pairs (a < b) of the nodes with the smallest node of each of their buckets, each pair once.
 
-def first_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) that span what is plausible in each chunk: fewer than the chunk has rows."""
+    A node may be the smallest of buckets with any share of the rows: its registers are broadcast while those of all such nodes are few."""
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for x, n, y, m in batches:
+            if len(x) == 0:
+                yield pd.Series([], dtype=bool)
+                continue
+            left, right = (np.stack(c.to_list()).astype(np.int64).view(np.uint16) for c in (x, y))
+            agree, e = (left == right).mean(1), collision_rate()
+            sizes = np.stack([n.to_numpy(np.float64), m.to_numpy(np.float64)])
+            least, most = sizes.min(0), sizes.max(0)
+            slack = SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(least, REGISTERS))
+            yield pd.Series(((agree - e) / (1 - e) >= threshold - slack) & (least >= threshold * most))
+
+    pairs = written_table(members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    of_b = reps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("regs").alias("y")).join(pairs, "b")
+    pivots = reps.select(F.col("node").alias("a"), "n", F.col("regs").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    if fits_broadcast(pivots):
+        both = of_b.join(F.broadcast(pivots), "a")
+    else:
+        both = salted_join(of_b, pivots, "a", F.col("b"))
+    return both.filter(F.pandas_udf(run, "boolean")("x", "n", "y", "m")).select("a", "b")
+
+
+def forest_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) that span what is plausible between components in each chunk: fewer than the chunk has rows."""
 
     def of_group(g: pd.DataFrame) -> list[tuple]:
-        node = g["node"].to_numpy()
-        if len(node) < 2:
+        node, label = g["node"].to_numpy(), g["label"].to_numpy()
+        if len(node) < 2 or (label == label[0]).all():
             return []
         ok, est = plausible(np.stack(g["regs"].to_list()), g["n"].to_numpy().astype(np.float64), threshold)
-        np.fill_diagonal(ok, False)
+        ok &= label[:, None] != label[None, :]
         pairs = forest(ok, est, int(np.argmin(node)))
         return [(min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs if node[i] != node[j]]
 
-    return by_group(members, of_group, "a long, b long").distinct()
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    return by_group(members.withColumn("chunk", F.pmod(F.xxhash64("node", "band"), chunks).cast("int")), GROUP, of_group, "a long, b long").distinct()
 
 
 def open_pairs(g: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the plausible pairs of different components, one of them at home in the chunk.
+    """Places of the plausible pairs of different components, the first one at home in the block, the second a guest.
 
-    A pair counts in the first band it shares only; the bucket of that band was kept, as of buckets with the same
-    members the one of the first band is.
+    Two rows outside the main component meet twice, and count where the smaller node is at home.  A pair counts in the first band it
+    shares only; the bucket of that band was kept, as of buckets with the same members the one of the first band is.
     """
     packed = np.stack(g["regs"].to_list()).astype(np.int64)
-    home, label, band = g["home"].to_numpy().astype(bool), g["label"].to_numpy(), int(g["band"].iloc[0])
-    node, sizes = g["node"].to_numpy(), g["n"].to_numpy().astype(np.float64)
+    guest, label, band = g["guest_row"].to_numpy().astype(bool), g["label"].to_numpy(), int(g["band"].iloc[0])
+    node, sizes, main = g["node"].to_numpy(), g["n"].to_numpy().astype(np.float64), g["main"].iloc[0]
+    guests = np.flatnonzero(guest)
     left, right = [], []
-    for i in np.flatnonzero(home):
-        others = np.flatnonzero((label != label[i]) & (~home | (node > node[i])) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i])))
+    for i in np.flatnonzero(~guest):
+        others = guests[(label[guests] != label[i]) & (np.minimum(sizes[guests], sizes[i]) >= threshold * np.maximum(sizes[guests], sizes[i]))]
+        if label[i] != main:
+            others = others[node[others] > node[i]]
         others = others[np.argmax(packed[others] == packed[i], axis=1) == band] if len(others) else others
         if len(others):
             ok = plausible_with(packed, sizes, int(i), others, threshold)
@@ -250,24 +286,25 @@ def open_pairs(g: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarra
     return np.array(left, int), np.array(right, int)
 
 
-def second_links(members: DataFrame, reps: DataFrame, df: DataFrame, text: str, percent: int) -> DataFrame:
-    """Confirmed pairs that join different components.  Chunks first name the rows that take part in a plausible pair; full sets
-    are sent for those alone and compared inside the chunk, which hands on the pairs that join something."""
+def last_links(members: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
+    """Confirmed pairs that join different components.  Blocks first name the rows that take part in a plausible pair; full sets
+    are sent for those alone and compared inside the block, which hands on the pairs that join something."""
     threshold = percent / 100
 
     def taking_part(g: pd.DataFrame) -> list[tuple]:
-        if g["label"].nunique() < 2:
+        if g["guest_row"].nunique() < 2:
             return []
         left, right = open_pairs(g, threshold)
-        key = g["band"].iloc[0], g["key"].iloc[0], g["chunk"].iloc[0]
-        return [(*key, int(g["node"].iloc[i])) for i in sorted({*left.tolist(), *right.tolist()})]
+        key = tuple(int(g[c].iloc[0]) for c in BLOCKS)
+        return [(*key, int(g["node"].iloc[i]), int(g["guest_row"].iloc[i])) for i in sorted({*left.tolist(), *right.tolist()})]
 
-    part = written_table(by_group(members, taking_part, "band long, key long, chunk long, node long"), "partners")
-    sets = sets_for(part.select("node").distinct(), reps, df, text)
-    rows = members.join(part, [*GROUP, "node"]).join(sets, "node")
+    placed = ", ".join(f"{c} long" for c in BLOCKS)
+    part = written_table(by_group(members, BLOCKS, taking_part, f"{placed}, node long, guest_row long"), "partners")
+    sets = sets_for(part.select("node").distinct(), reps, df, id_col, text)
+    rows = members.join(part, [*BLOCKS, "node", "guest_row"]).join(sets, "node")
 
     def of_group(g: pd.DataFrame) -> list[tuple]:
-        if g["label"].nunique() < 2:
+        if g["guest_row"].nunique() < 2:
             return []
         node, label = g["node"].to_numpy(), g["label"].to_numpy().copy()
         hashes = [np.asarray(h).view(U) for h in g["hashes"]]
@@ -281,34 +318,45 @@ def second_links(members: DataFrame, reps: DataFrame, df: DataFrame, text: str,
                 label[label == label[j]] = label[i]
         return out
 
-    return written_table(by_group(rows, of_group, "a long, b long").distinct(), "links")
+    return written_table(by_group(rows, BLOCKS, of_group, "a long, b long").distinct(), "links")
 
 
-def chunked(members: DataFrame, everywhere: F.Column, size: int = CHUNK) -> DataFrame:
-    """Each row in its chunk of the bucket; rows for which ``everywhere`` holds in all of them."""
-    chunks = F.ceil(F.col("m") / size).cast("int")
-    own = F.pmod(F.xxhash64("node", "band"), chunks).cast("int")
-    placed = members.withColumn("own", own).withColumn(
-        "chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array("own")))
+def in_blocks(members: DataFrame, size: int) -> DataFrame:
+    """Rows of each bucket at home in one block, beside every block of guests; and those outside the main component as guests beside every block
+    of homes.  Blocks hold about ``size`` rows, whatever the bucket does."""
+    outside = F.col("label") != F.col("main")
+    keys = ["band", "key"]
+    sizes = members.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / size).cast("int").alias("homes"), F.ceil(F.count(F.when(outside, 1)) / size).cast("int").alias("guests")
+    )
+    placed = members.join(sizes, keys)
+    at_home = placed.withColumns(
+        {"home": F.pmod(F.xxhash64("node", "band"), F.col("homes")).cast("int"), "guest": F.explode(F.sequence(F.lit(0), F.col("guests") - 1)), "guest_row": F.lit(0)}
     )
-    return placed.withColumn("home", (F.col("own") == F.col("chunk")).cast("int")).drop("own")
+    visiting = placed.filter(outside).withColumns(
+        {"guest": F.pmod(F.xxhash64("node", "band"), F.col("guests")).cast("int"), "home": F.explode(F.sequence(F.lit(0), F.col("homes") - 1)), "guest_row": F.lit(1)}
+    )
+    return at_home.unionByName(visiting).drop("homes", "guests")
 
 
-def sets_for(nodes: DataFrame, reps: DataFrame, df: DataFrame, text: str) -> DataFrame:
-    """(node, hashes) of the full shingle sets.  Texts are read again for these nodes only."""
-    wanted = written_table(nodes.join(reps.select("node", "fp", "hashed"), "node"), "nodes")
-    texts = df.select(F.col(f"`{text}`").alias("_text"), F.xxhash64(f"`{text}`").alias("hashed"))
-    chosen = join_checked(texts, wanted.select("hashed").distinct(), "hashed", "left_semi", bound=wanted.select("hashed"))
-    sets = sets_of(chosen.dropDuplicates(["hashed"]), "_text").join(wanted.select("fp", "node"), "fp")
+def sets_for(nodes: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(node, hashes) of the full shingle sets.  Texts are read again for these nodes only, from the row that stands for each."""
+    key = F.coalesce(F.col("best._id").cast("string"), F.lit("")).alias("_i")
+    wanted = written_table(nodes.join(reps.select("node", "fp", key, F.col("best.hashed").alias("hashed")), "node"), "nodes")
+    texts = df.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_i"), F.col(f"`{text}`").alias("_text"), F.xxhash64(f"`{text}`").alias("hashed"))
+    chosen = join_checked(texts, wanted.select("_i", "hashed").distinct(), ["_i", "hashed"], "left_semi", bound=wanted.select("_i", "hashed"))
+    sets = join_checked(sets_of(chosen, "_text"), wanted.select("fp", "node"), "fp")
     return written_table(sets.dropDuplicates(["node"]).select("node", "hashes"), "sets")
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, df: DataFrame, text: str, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     """The pairs whose full sets reach ``percent`` of their union."""
-    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, df, text)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
-    )
+    pairs = written_table(pairs, "pairs")
+    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), reps, df, id_col, text)
+    # pairs are narrow, and the nodes on their left are the smallest of buckets, so few
+    right = join_checked(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), pairs, "b")
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    both = right.join(F.broadcast(left), "a") if fits_broadcast(left) else salted_join(right, left, "a", F.col("b"))
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return written_table(both.filter(common * 100 >= union * percent).select("a", "b"), "links")
@@ -332,6 +380,22 @@ def components(links: DataFrame) -> DataFrame:
         pairs = written_table(small.distinct(), "stars")
 
 
+def as_links(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
+def parted(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with their label, that of the largest one there (main), size and registers."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counted = labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = (
+        counted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
+        .filter(F.col("labels") > 1).drop("labels")
+    )
+    left = written_table(labelled.join(several, ["band", "key"]), "left")
+    return left.join(reps.select("node", "n", "regs"), "node")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept (whether the row has the id that names its component)."""
     return judged(df, id_col, text, percent).select(
@@ -351,33 +415,27 @@ def judged(df: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     grouped = (
         sketched.filter(F.col("n") > 0)
         .groupBy("fp")
-        .agg(F.min(F.struct(F.col("_id").isNull().alias("absent"), "_id", "hashed")).alias("best"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("hashed").alias("hashed"))
+        .agg(F.min(F.struct(F.col("_id").isNull().alias("absent"), "_id", "hashed")).alias("best"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
     reps = number_rows(grouped, out="node")
     members = reps.select("node", F.posexplode("regs").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("same")
+        F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"),
+        F.struct(F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("same"),
     )
     # buckets of one member link nothing; of those with the same members that of the first band is enough
     alike = buckets.filter(F.col("m") > 1).groupBy("m", "pivot", "same").agg(F.min(F.struct("band", "key")).alias("at"))
     shared = written_table(alike.select("at.band", "at.key", "m", "pivot"), "buckets")
     inside = written_table(members.join(shared, ["band", "key"]), "members")
-    with_registers = inside.join(reps.select("node", "n", "regs"), "node")
-    pairs = written_table(first_pairs(chunked(with_registers, F.col("node") == F.col("pivot")), threshold), "pairs")
-    links = confirm(pairs, reps, df, text, percent)
+    links = confirm(pivot_pairs(inside, reps, threshold), reps, df, id_col, text, percent)
     labels = components(links)
-
-    labelled = inside.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counted = labelled.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed_buckets = (
-        counted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
-        .filter(F.col("labels") > 1).drop("labels")
-    )
-    left = written_table(labelled.join(mixed_buckets, ["band", "key"]), "left")
-    second = chunked(left.join(reps.select("node", "n", "regs"), "node"), F.col("label") != F.col("main"), LATER_CHUNK)
-    found = second_links(second, reps, df, text, percent)
-    if found.limit(1).count():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+    left = parted(inside, labels, reps)
+    if left.limit(1).count():
+        links = confirm(forest_pairs(left, threshold), reps, df, id_col, text, percent)
+        labels = components(as_links(labels).union(links))
+        left = parted(inside, labels, reps)
+        links = last_links(in_blocks(left, LATER_CHUNK), reps, df, id_col, text, percent)
+        labels = components(as_links(labels).union(links)) if links.limit(1).count() else labels
 
     named = reps.select("node", "fp", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = written_table(named.groupBy("label").agg(F.min("best").alias("best")), "names")

@@ -2,14 +2,15 @@
 
 Two sets that are similar enough share one of their first members, if all sets are read in one order; a set needs only
 as many first members as it may differ in.  The order here is rare first: n-grams whose hash lies in the counted part of
-the hash range are counted over the whole corpus, as many of the most frequent ones as ``LISTED`` allows are listed with their counts, and the listed come
-last, by count.  All others come first, by hash.  Any order gives right results; this one keeps frequent n-grams out of the prefixes.
+the hash range are counted over the whole corpus, and come by powers of two of their counts (looked up in a table of fixed size, where
+n-grams that share a slot take the larger count), then by hash; those not counted stand with the rarest, after them by hash.  Any order
+that is the same for all sets gives right results; this one keeps frequent n-grams out of the prefixes.
 
 Texts are joined on the n-grams of their prefixes.  Pairs that meet are tested on length, on the places of the n-gram in both
 (positional filter), and on the counts of their members in 128 parts of the hash range, whose differences no
 two sets so similar can exceed (suffix filter).  What passes is verified on the full sets, once per pair.
 
-Equal sets are one node, so copies cost one row.  Of n-grams with the same texts the first is taken.  In a first rounds, each
+Equal sets are one node, so copies cost one row.  Of n-grams with the same texts the first is taken.  In the first rounds, each
 n-gram's nodes are dealt into small chunks, and every chunk names pairs that would join all that its filters leave, the most promising first:
 fewer pairs than rows.  Then only pairs of different components are of interest, and all of them are tested: an n-gram's nodes outside its
 largest component meet all its nodes of fitting length, both cut into blocks, so a task holds two blocks of bounded size at a time.
@@ -44,7 +45,9 @@ from newsloom.session import written_table
 WIDTH = 3
 PERCENT = 90
 COUNTED = 1 << 62  # hashes below are counted: a quarter of the range
-LISTED = 1 << 18  # n-grams listed with their counts, in every worker
+SLOTS = 1 << 24  # bytes that tell every worker how often n-grams occur
+PAGE = 1 << 12  # slots that are collected together
+AT_ONCE = 20_000  # rows whose pairs are compared together
 RANGES = 128
 CHUNK = 64
 ROUNDS = 3
@@ -64,9 +67,9 @@ def sketch(df: DataFrame, text: str, percent: int, width: int) -> DataFrame:
             rows = []
             for t in texts:
                 h = shingles(lower_words(t), width)
-                counted = int(np.searchsorted(h, U(COUNTED)))
-                low = h[: counted + prefix_length(len(h), percent)].view(np.int64) if len(h) else None
                 parts = np.bincount((h >> U(57)).astype(np.int64), minlength=RANGES)
+                # those not counted come by hash, so no more of them are needed than the prefix holds
+                low = h[: int(np.searchsorted(h, U(COUNTED))) + prefix_length(len(h), percent)].view(np.int64) if len(h) else None
                 rows.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), low, np.minimum(parts, 255).astype(np.uint8).tobytes()))
             yield pd.DataFrame(rows, columns=["fp", "n", "low", "sig"])
         minhash._hashes.clear()
@@ -75,75 +78,106 @@ def sketch(df: DataFrame, text: str, percent: int, width: int) -> DataFrame:
     return ready_for_python(df).withColumn("_sketch", made(F.col(f"`{text}`")))
 
 
-def frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the most frequent counted n-grams: at most LISTED, all that occur as often as some power of two."""
-    counts = nodes.select(F.explode("low").alias("h")).filter(f"h between 0 and {COUNTED - 1}").groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    counts = written_table(counts.filter("c > 1"), "counts")
-    sizes = sorted(counts.groupBy(F.floor(F.log2("c")).alias("k")).count().collect(), reverse=True)
-    least, total = 64, 0
-    for k, many in sizes:
-        if total + many > LISTED:
-            break
-        least, total = k, total + many
-    listed = counts.filter(F.floor(F.log2("c")) >= least).toPandas().sort_values("h")  # at most LISTED rows
-    return listed["h"].to_numpy(np.int64), listed["c"].to_numpy(np.int64)
+def classes(sketched: DataFrame) -> np.ndarray:
+    """How often counted n-grams occur, as powers of two by slots of their hashes: of those that share a slot, the most frequent one's.
 
+    An order needs no more than one number for each n-gram.  Collisions only move some rare ones back; the size is fixed, whatever the corpus.
+    """
+    members = sketched.select(F.explode("low").alias("h")).filter(f"h between 0 and {COUNTED - 1}")
+    counts = members.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
+    slots = counts.select((slot / PAGE).cast("int").alias("page"), (slot % PAGE).cast("int").alias("at"), F.floor(F.log2("c")).cast("byte").alias("k"))
 
-def with_prefix(nodes: DataFrame, percent: int) -> DataFrame:
-    """The first members of each set in the common order, in place of those that could be."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(nodes))
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:  # a page has PAGE rows at most
+        out = np.zeros(PAGE, np.uint8)
+        out[rows["at"].to_numpy()] = rows["k"].to_numpy()
+        return pd.DataFrame({"page": [int(rows["page"].iloc[0])], "data": [out.tobytes()]})
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes, counts = shared.value
-        for lows, sizes in batches:
-            out = []
-            for low, n in zip(lows, sizes, strict=True):
-                at = np.minimum(np.searchsorted(hashes, low), max(0, len(hashes) - 1))
-                often = np.where(hashes[at] == low, counts[at], 0) if len(hashes) else np.zeros(len(low), np.int64)
-                # by count, then by hash, of which they are in order already
-                out.append(low[np.argsort(often, kind="stable")[: prefix_length(n, percent)]])
-            yield pd.Series(out)
-
-    return nodes.withColumn("prefix", F.pandas_udf(run, "array<long>")("low", "n")).drop("low")
+    largest = slots.groupBy("page", "at").agg(F.max("k").alias("k"))
+    table = np.zeros(max(SLOTS, PAGE), np.uint8)
+    for row in largest.groupBy("page").applyInPandas(packed, "page int, data binary").toLocalIterator():  # a byte per slot
+        table[row["page"] * PAGE : (row["page"] + 1) * PAGE] = np.frombuffer(row["data"], np.uint8)
+    return table
 
 
-def passing(left: dict, right: dict, percent: int) -> np.ndarray:
-    """Upper bounds of the common members of all pairs, 0 where a filter shows that they are too few."""
-    n, m = left["n"][:, None], right["n"][None, :]
-    needed = -(-percent * (n + m) // (100 + percent))
-    i, j = left["pos"][:, None], right["pos"][None, :]
-    bound = np.minimum(np.minimum(i, j) + np.minimum(n - i, m - j), np.minimum(n, m))
-    ok = bound >= needed
-    for row in np.flatnonzero(ok.any(1)):
-        at = np.flatnonzero(ok[row])
-        apart = np.abs(right["sig"][at] - left["sig"][row]).sum(1)
-        bound[row, at] = np.minimum(bound[row, at], (n[row] + m[0, at] - apart) // 2)
-    return np.where(bound >= needed, bound, 0)
+def with_prefix(sketched: DataFrame, percent: int) -> DataFrame:
+    """In place of the members that can be: places and hashes of the first ones in the common order that another text may share.
 
+    A counted n-gram whose slot holds no count occurs in one text alone and joins nothing.
+    """
+    shared = sketched.sparkSession.sparkContext.broadcast(classes(sketched))
 
-def fields(g: pd.DataFrame) -> dict:
-    out = {c: g[c].to_numpy() for c in ("node", "label", "n", "pos")}
-    out["sig"] = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), RANGES).astype(np.int16)
-    return out
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for lows, sizes in batches:
+            out = []
+            for low, n in zip(lows, sizes, strict=True):
+                counted = int(np.searchsorted(low.view(U), U(COUNTED)))
+                order = np.zeros(len(low), np.uint8)
+                order[:counted] = often[low[:counted] & (SLOTS - 1)]
+                # by count, then by hash, of which they are in order already
+                first = np.argsort(order, kind="stable")[: prefix_length(n, percent)]
+                places = np.flatnonzero((order[first] > 0) | (first >= counted))
+                out.append((places.astype(np.int32), low[first[places]]))
+            yield pd.DataFrame(out, columns=["pos", "token"])
+
+    return sketched.withColumn("prefix", F.pandas_udf(run, "pos array<int>, token array<long>")("low", "n")).drop("low")
+
+
+def passing(rows: dict[str, np.ndarray], ends: np.ndarray, percent: int, asked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs within a group that ``asked`` wants, have different labels and pass all filters, and upper bounds of their common members.
+
+    ``ends`` has the end of each row's group; rows are paired with the next one, the one after it and so on, in all groups at once.
+    """
+    n, pos, label, sig = rows["n"], rows["pos"], rows["label"], rows["sig"]
+    out, apart, left = [], 1, np.arange(len(n))
+    while len(left := left[left + apart < ends[left]]):
+        i, j = left, left + apart
+        apart += 1
+        ok = (label[i] != label[j]) & asked(i, j)
+        i, j = i[ok], j[ok]
+        needed = -(-percent * (n[i] + n[j]) // (100 + percent))
+        bound = np.minimum(np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]), np.minimum(n[i], n[j]))
+        ok = bound >= needed
+        i, j, bound, needed = i[ok], j[ok], bound[ok], needed[ok]
+        bound = np.minimum(bound, (n[i] + n[j] - np.abs(sig[i] - sig[j]).sum(1, dtype=np.int64)) // 2)
+        ok = bound >= needed
+        if ok.any():
+            out.append((i[ok], j[ok], bound[ok]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def by_group(frame: DataFrame, keys: list[str], of_groups) -> DataFrame:
+    """Pairs (a < b) that ``of_groups`` names for whole groups, of which it gets several at once: their rows and each row's end of group."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, size = [], 0
 
-def by_group(frame: DataFrame, keys: list[str], of_group) -> DataFrame:
-    """Pairs (a < b) that ``of_group`` names for the rows of each group; rows come sorted, so a group ends where its key changes."""
+        def pairs(last: bool) -> pd.DataFrame:
+            nonlocal rest, size
+            rows = pd.concat(rest, ignore_index=True)
+            values = rows[keys].to_numpy()
+            edges = np.array([0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1), len(rows)])
+            done = len(rows) if last else int(edges[-2])  # the last group may go on
+            rest, size = [rows.iloc[done:]], len(rows) - done
+            g = rows.iloc[:done]
+            ends = np.repeat(edges[1:], np.diff(edges))[:done]
+            fields = {c: g[c].to_numpy() for c in g.columns if c != "sig"}
+            fields["sig"] = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(done, RANGES).astype(np.int16)
+            i, j = of_groups(fields, ends) if done else ((), ())
+            a, b = fields["node"][i], fields["node"][j]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
         for batch in batches:
-            if len(batch) == 0:
-                continue
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            values = rows[keys].to_numpy()
-            edges = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist()]
-            out = [p for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for p in of_group(rows.iloc[a:b])]
-            rest = rows.iloc[edges[-1] :]
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        if rest is not None and len(rest) > 1:
-            yield pd.DataFrame(of_group(rest), columns=["a", "b"], dtype="int64")
+            if len(batch):
+                rest.append(batch)
+                size += len(batch)
+                if size >= AT_ONCE:
+                    yield pairs(False)
+        if size:
+            yield pairs(True)
 
     return frame.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long").distinct()
 
@@ -151,25 +185,27 @@ def by_group(frame: DataFrame, keys: list[str], of_group) -> DataFrame:
 def promising(members: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs that would join what the filters leave in each chunk of an n-gram's nodes: fewer than the chunk has rows."""
 
-    def of_group(g: pd.DataFrame) -> list[tuple]:
-        rows = fields(g)
-        if (rows["label"] == rows["label"][0]).all():
-            return []
-        bound = passing(rows, rows, percent)
-        bound[rows["label"][:, None] == rows["label"][None, :]] = 0
-        left, right = np.nonzero(np.triu(bound, 1))
-        least = np.minimum(rows["n"][left], rows["n"][right])
-        root, out = rows["label"].copy(), []
-        for k in np.argsort(-bound[left, right] / least, kind="stable"):
-            a, b = root[left[k]], root[right[k]]
+    def of_groups(rows: dict, ends: np.ndarray):
+        left, right, bound = passing(rows, ends, percent, lambda i, j: np.ones(len(i), bool))
+        root: dict[tuple, tuple] = {}
+
+        def find(x: tuple) -> tuple:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        chosen = []
+        for k in np.argsort(-bound / np.minimum(rows["n"][left], rows["n"][right]), kind="stable"):
+            a, b = (find((int(ends[p[k]]), int(rows["label"][p[k]]))) for p in (left, right))
             if a != b:
-                out.append(tuple(sorted((int(rows["node"][left[k]]), int(rows["node"][right[k]])))))
-                root[root == b] = a
-        return out
+                root[a] = b
+                chosen.append(k)
+        return left[chosen], right[chosen]
 
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(turn)), chunks).cast("int")
-    return by_group(members.withColumn("chunk", own), ["token", "chunk"], of_group)
+    return by_group(members.withColumn("chunk", own), ["token", "chunk"], of_groups)
 
 
 def remaining(members: DataFrame, percent: int) -> DataFrame:
@@ -189,43 +225,39 @@ def remaining(members: DataFrame, percent: int) -> DataFrame:
         {"guest": F.pmod(F.xxhash64("node"), F.col("guests")).cast("int"), "home": F.explode(F.sequence(F.lit(0), F.col("homes") - 1)), "is_guest": F.lit(1)}
     )
 
-    def of_group(g: pd.DataFrame) -> list[tuple]:
-        left, right = g[g["is_guest"] == 0], g[g["is_guest"] == 1]
-        if len(left) == 0 or len(right) == 0:
-            return []
-        main = right["main"].iloc[0]
-        left, right = fields(left), fields(right)
-        bound = passing(left, right, percent)
-        # a pair of two outside rows meets twice, and counts where the smaller node is at home
-        twice = (left["label"] != main)[:, None] & (left["node"][:, None] > right["node"][None, :])
-        bound[twice | (left["label"][:, None] == right["label"][None, :])] = 0
-        return [tuple(sorted((int(left["node"][i]), int(right["node"][j])))) for i, j in zip(*np.nonzero(bound), strict=True)]
+    def of_groups(rows: dict, ends: np.ndarray):
+        guest, inner, node = rows["is_guest"] == 1, rows["label"] == rows["main"], rows["node"]
 
-    return by_group(at_home.unionByName(visiting), [*keys, "home", "guest"], of_group)
+        def asked(i, j):
+            # a pair of two outside rows meets twice, and counts where the smaller node is at home
+            host, visitor = np.where(guest[j], i, j), np.where(guest[j], j, i)
+            return (guest[i] != guest[j]) & (inner[host] | (node[host] < node[visitor]))
 
+        left, right, _ = passing(rows, ends, percent, asked)
+        return left, right
 
-def sets_of(df: DataFrame, id_col: str, text: str, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, hashes): the full sets of the nodes, read again from the one row that stands for each."""
+    return by_group(at_home.unionByName(visiting), [*keys, "home", "guest"], of_groups)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def sets_of(df: DataFrame, id_col: str, text: str, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """(node, hashes): the full sets of the nodes, read again from the row that stands for each; only if rows are repeated it may be several."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = [shingles(lower_words(t), width) for t in texts]
-            yield pd.DataFrame([(xxhash.xxh3_128_digest(h.tobytes()), h.view(np.int64)) for h in found], columns=["fp", "hashes"])
+            yield pd.Series([shingles(lower_words(t), width).view(np.int64) for t in texts])
         minhash._hashes.clear()
 
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_i"), F.xxhash64(f"`{text}`").alias("hashed")]
-    texts = df.select(*key, F.col(f"`{text}`").alias("_text"))
-    wanted = nodes.select(F.coalesce(F.col("best._id").cast("string"), F.lit("")).alias("_i"), F.col("best.hashed").alias("hashed"), "fp", "node")
-    chosen = join_checked(texts, wanted.select("_i", "hashed"), ["_i", "hashed"], "left_semi")
-    made = ready_for_python(chosen).select(F.pandas_udf(run, "fp binary, hashes array<long>")("_text").alias("_s"))
-    return made.select("_s.fp", "_s.hashes").join(wanted.select("fp", "node"), "fp").dropDuplicates(["node"]).select("node", "hashes")
+    texts = df.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_i"), F.xxhash64(f"`{text}`").alias("hashed"), F.col(f"`{text}`").alias("_text"))
+    chosen = join_checked(texts, wanted, ["_i", "hashed"])
+    sets = ready_for_python(chosen).select("node", F.pandas_udf(run, "array<long>")("_text").alias("hashes"))
+    return written_table(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach ``percent`` of their union."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
-    )
+    right = join_checked(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), pairs, "b")
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    both = join_checked(right, left, "a")
     common = F.size(F.array_intersect("x", "y"))
     enough = common * 100 >= (F.size("x") + F.size("y") - common) * percent
     return written_table(both.filter(enough).select("a", "b"), "links")
@@ -234,40 +266,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def joined(df: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """Per row: id, n_shingles, component_id."""
     plain = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    sketched = written_table(
-        sketch(plain, "_text", percent, width).select("_id", F.xxhash64("_text").alias("hashed"), "_sketch.*"), "sketches"
-    )
+    made = sketch(plain, "_text", percent, width).select("_id", F.xxhash64("_text").alias("hashed"), "_sketch.*")
+    sketched = written_table(made, "sketches")
+    filled = sketched.filter("n > 0")
+    repeated = filled.groupBy("_id", "hashed").count().filter("count > 1").limit(1).count() > 0
     best = F.min(F.struct(F.col("_id").isNull().alias("absent"), "_id", "hashed")).alias("best")
-    alone = sketched.filter("n > 0").groupBy("fp").agg(
-        best, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("sig").alias("sig")
+    alone = with_prefix(filled, percent).groupBy("fp").agg(
+        best, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sig").alias("sig")
     )
-    nodes = written_table(with_prefix(number_rows(alone, out="node"), percent), "nodes")
+    nodes = number_rows(alone, out="node")
+    key = F.coalesce(F.col("best._id").cast("string"), F.lit("")).alias("_i")
 
-    postings = nodes.select("node", F.posexplode("prefix").alias("pos", "token"))
+    postings = nodes.select("node", F.inline(F.arrays_zip("prefix.pos", "prefix.token")))
     tokens = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("m"), F.min("pos").alias("first"),
         F.struct(F.min("node"), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("same"),
     )
     # n-grams of one text join nothing; of those with the same texts one is enough
     alike = tokens.filter("m > 1").groupBy("m", "same").agg(F.min(F.struct("first", "token")).alias("at"))
-    shared = alike.select("at.token", "m")
-    members = written_table(postings.join(shared, "token").join(nodes.select("node", "n", "sig"), "node"), "members")
-    sets = written_table(sets_of(df, id_col, text, nodes.join(members.select("node").distinct(), "node", "left_semi"), width), "sets")
-
-    labels = None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            open_ = members.withColumns({"label": F.col("node"), "main": F.lit(-1).cast("long")})
-        else:
-            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            counted = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-            several = counted.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
-            open_ = labelled.join(several.filter("labels > 1").select("token", "main"), "token")
+    shared = written_table(alike.select("at.token", "m"), "tokens")
+    members = written_table(join_checked(postings, shared, "token"), "members")
+    described = nodes.select("node", "n", "sig")
+
+    labels, turn = components(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)), 0
+    while turn <= ROUNDS:
+        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        counted = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+        several = counted.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
+        open_ = labelled.join(several.filter("labels > 1").select("token", "main"), "token").join(described, "node")
         pairs = promising(open_, turn, percent) if turn < ROUNDS else remaining(open_, percent)
-        links = verified(written_table(pairs, "pairs"), sets, percent)
-        if labels is not None:
-            links = links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = components(links)
+        pairs = written_table(pairs, "pairs")
+        wanted = nodes.select("node", key, "best.hashed").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+        links = verified(pairs, sets_of(df, id_col, text, written_table(wanted, "wanted"), width, repeated), percent)
+        new = links.limit(1).count() > 0
+        if new:
+            labels = components(links.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        turn = turn + 1 if new or turn == ROUNDS else ROUNDS  # a round that joins nothing is followed by the last
 
     named = nodes.select("node", "fp", "copies", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("best").alias("name"), F.sum("copies").alias("rows")).filter("rows > 1")

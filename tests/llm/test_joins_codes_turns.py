@@ -144,10 +144,11 @@ def edited(words, rng, share):
     return " ".join(rng.choice(["red", "blue", "green", "x%d" % rng.randint(0, 999)]) if rng.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("listed", [0, 30, 1 << 18])
-def test_join_against_all_pairs(spark, monkeypatch, listed):
+@pytest.mark.parametrize("slots", [1, 64, 1 << 20])
+def test_join_against_all_pairs(spark, monkeypatch, slots):
     rng = random.Random(5)
-    monkeypatch.setattr(ngramjoin, "LISTED", listed)
+    monkeypatch.setattr(ngramjoin, "SLOTS", slots)
+    monkeypatch.setattr(ngramjoin, "AT_ONCE", 50)
     monkeypatch.setattr(ngramjoin, "CHUNK", 5)
     monkeypatch.setattr(ngramjoin, "BLOCK", 2000)
     passage = [f"p{i}" for i in range(40)]
@@ -192,15 +193,15 @@ def test_last_round_holds_bounded_blocks(spark, monkeypatch):
     rng = random.Random(8)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, passage + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))) for i in range(400)]
-    monkeypatch.setattr(ngramjoin, "LISTED", 0)
+    monkeypatch.setattr(ngramjoin, "SLOTS", 1)
     monkeypatch.setattr(ngramjoin, "BLOCK", 3000)
     seen = []
     plain = ngramjoin.by_group
 
-    def watched(frame, keys, of_group):
+    def watched(frame, keys, of_groups):
         if len(keys) > 2:
             seen.append(frame.groupBy(*keys).agg(F.sum("n").alias("s")).agg(F.max("s")).first()[0])
-        return plain(frame, keys, of_group)
+        return plain(frame, keys, of_groups)
 
     monkeypatch.setattr(ngramjoin, "by_group", watched)
     assert {c for _, c in components(spark, rows).values()} == set(range(400))
