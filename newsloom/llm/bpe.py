@@ -8,7 +8,7 @@ table, and after an edit only the pieces around it are done anew.
 
 Nulls: a null text has no tokens.  Very long texts and pieces take time in proportion to their
 length.  Repeated rows are encoded as often as they come.  Other columns pass through, whatever their
-names; a column named as the result is replaced.
+names; a column named as the result is replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

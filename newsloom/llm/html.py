@@ -22,7 +22,7 @@ only if its container belongs to the host's template, or the host has none.  Not
 
 A null or empty page has the text "".  A null address counts as a host of its own.  Broken markup (missing
 ends, stray quotes, unclosed tags and comments) is read as browsers do, roughly; reading takes linear time.
-Repeated rows are extracted singly; other columns pass through.
+Repeated rows are extracted singly; other columns pass through.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

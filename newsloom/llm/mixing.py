@@ -7,7 +7,8 @@ sorted, each round reads a narrow table, and a larger budget takes a superset of
 
 Sources stand in order of code points, null last, and carry the given weights in turn.  A null text has
 size 0; rows with equal ids share one hash and stay or go together; sizes count repeated rows singly.  A
-source without words has target 0.  An empty table gives an empty mix.
+source without words has target 0.  An empty table gives an empty mix.  Texts of any length are counted whole; columns named as
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import word_count
-from newsloom.operators.joins import join_checked
+from newsloom.operators.joins import fits_broadcast, join_checked, salted_join
 from newsloom.operators.keys import number_rows
 from newsloom.session import written_table
 
@@ -84,50 +85,61 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return ended.select("_key", (F.col("_low") + nearer).cast("long").alias("_below"))
 
 
-def mix(
-    df: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2.0,
-    id_col: str = "doc_id", text: str = "text", source: str = "source",
-) -> DataFrame:
-    """Per row: id, size, source_size, target, copies, taken (words the mix takes, repeats counted)."""
-    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
+def hashed(id_: F.Column) -> F.Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), id_.cast("string")), 64 - HASH_BITS)
+
+
+def source_key(source: str) -> F.Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
+
+
+def planned(df: DataFrame, id_: F.Column, text: str, source: str, share: float, weights: Sequence[float], cap: float) -> tuple[DataFrame, DataFrame]:
+    """(_id, _key, _source, size, _hash) of every row, and per source its target, whole copies and the hash below which one more is taken."""
     sizes = written_table(
         df.select(
-            F.col(f"`{id_col}`").alias("_id"), key.alias("_key"), F.col(f"`{source}`").cast("string").alias("_source"),
-            word_count(f"`{text}`").alias("size"),
-            F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(f"`{id_col}`").cast("string")), 64 - HASH_BITS).alias("_hash"),
+            id_.alias("_id"), source_key(source).alias("_key"), F.col(f"`{source}`").cast("string").alias("_source"),
+            word_count(f"`{text}`").alias("size"), hashed(id_).alias("_hash"),
         ),
         "sizes",
     )
     targets = written_table(source_targets(sizes, share, weights, cap), "targets")
     limits = thresholds(sizes.select("_key", "size", "_hash"), targets)
-    both = targets.join(limits, "_key", "left")
-    mixed = join_checked(sizes, both, "_key", bound=targets)
+    return sizes, written_table(targets.join(limits, "_key", "left"), "limits")
+
+
+def with_copies(rows: DataFrame, limits: DataFrame, salt: F.Column) -> DataFrame:
+    """Add what the row's source says, and how often the row is taken.  A source may hold any share of the rows: sources are broadcast once
+    measured to be few, else each is spread over salted tasks."""
+    if fits_broadcast(limits):
+        mixed = rows.join(F.broadcast(limits), "_key")
+    else:
+        mixed = salted_join(rows, limits, "_key", salt)
     more = F.coalesce((F.col("_hash") < F.col("_below")).cast("long"), F.lit(0))
-    return mixed.withColumn("copies", F.col("_whole") + more).select(
+    return mixed.withColumn("copies", F.col("_whole") + more)
+
+
+def mix(
+    df: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2.0,
+    id_col: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """Per row: id, size, source_size, target, copies, taken (words the mix takes, repeats counted)."""
+    sizes, limits = planned(df, F.col(f"`{id_col}`"), text, source, share, weights, cap)
+    return with_copies(sizes, limits, F.col("_hash")).select(
         F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
-def copies(df: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def copies(
+    df: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), cap: float = 2.0,
+    id_col: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
     """The mixed corpus itself: the rows of ``df``, each as often as the mix takes it.
 
-    The verdict is the same for all rows with one id and source, so it is found once per such pair.
+    Rows with one id and source share a hash.  A row's own hash and one small row per source decide, so no text moves.
     """
-    source = settings.get("source", "source")
-    chosen = mix_with_source(df, id_col=id_col, **settings).filter(F.col("copies") > 0)
+    pair = F.struct(F.col(f"`{id_col}`").alias("i"), F.col(f"`{source}`").alias("s"))
+    _, limits = planned(df, pair, text, source, share, weights, cap)
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    rows = df.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{source}`").alias("_s"), whole)
-    chosen = chosen.select(F.col("_pair.i").alias("_ci"), F.col("_pair.s").alias("_cs"), F.col("copies").cast("int").alias("_n"))
-    taken = rows.join(chosen, F.col("_i").eqNullSafe(F.col("_ci")) & F.col("_s").eqNullSafe(F.col("_cs")))
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
-
-
-def mix_with_source(df: DataFrame, **settings) -> DataFrame:
-    """``mix`` keyed by id and source, one row for each pair."""
-    id_col, source = settings.get("id_col", "doc_id"), settings.get("source", "source")
-    tagged = df.select(
-        F.struct(F.col(f"`{id_col}`").alias("i"), F.col(f"`{source}`").alias("s")).alias("_pair"),
-        F.col(f"`{source}`").alias("_of"), F.col(f"`{settings.get('text', 'text')}`").alias("_words"),
-    )
-    rest = {k: v for k, v in settings.items() if k not in ("id_col", "source", "text")}
-    return mix(tagged, id_col="_pair", source="_of", text="_words", **rest).select("_pair", "copies").distinct()
+    rows = df.select(whole, source_key(source).alias("_key"), hashed(pair).alias("_hash"))
+    taken = with_copies(rows, limits, F.col("_hash")).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

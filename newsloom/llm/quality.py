@@ -5,7 +5,7 @@ How far prose shrinks depends on its length, so each length has its own band, fo
 fixed chunks of it (a repetitive stretch in a long text hardly moves the ratio of the whole).
 
 A null or empty text has no words and fails the base rule.  Texts are read whole.  Repeated rows are
-judged singly; other columns are not looked at.
+judged singly; other columns are not looked at, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

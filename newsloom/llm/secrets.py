@@ -9,7 +9,8 @@ little; keys cost what random characters of their alphabet cost at their length,
 nearby do not prime; once a string is reported, so are all its copies in the text, whatever stands before them.
 
 A null or empty text has no spans.  Texts are scanned whole, in code points.  Repeated rows are scanned
-singly; columns other than the text pass through.
+singly; columns other than the text pass through, but one named ``secrets`` is replaced.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ a query, of which the best stay.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do queries without id;
 integers beyond 64 bits saturate.  Vectors of different dimension are not compared.  A query is compared with all rows
-but those with its id; repeated rows count singly, repeated queries once.  Ties go to the smaller id, null last.
+but those with its id; repeated rows count singly, queries with equal id and vector once; those that share an id but not the vector have one common ranking.
+Ties go to the smaller id, null last.  An empty table gives an empty result; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,14 +2,15 @@
 
 P(grade <= k) = sigmoid(threshold_k - w.x): all grades share the weights of sparse text features, only the
 thresholds differ and rise.  Features are the presence of words and of their beginnings, hashed; those whose
-share differs between toxic and other labelled texts are kept.  The labels say toxic or not; toxic texts
-with more marks than the median of the toxic ones are the severe grade.  Output is each grade's probability and the
+share differs between toxic and other labelled texts are kept.  The labels say toxic or not; no label says
+how severe, so the severe grade is made here: toxic texts with more marks than the median of the toxic ones.  Output is each grade's probability and the
 expected severity.
 
 The model is fitted on at most about ``SAMPLE`` labelled rows, chosen by a hash of the id (a documented bound);
 every row is scored.  A null or empty text has no features, and severity as the thresholds alone say.
 Rows without label, with null labels or without a counterpart in the documents are not learned from.  Without toxic
-labels nothing is toxic.  Repeated rows are scored singly; other columns pass through.
+labels nothing is toxic.  Repeated rows are scored singly; other columns pass through, but those named
+``grade``, ``toxic`` or ``p_toxic`` are replaced.  Texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

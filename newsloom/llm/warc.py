@@ -3,7 +3,9 @@
 Each record is a gzip member of its own whose header carries the member's length (the ``sl`` field), so a
 reader inflates the WARC headers, tests the record type and other header predicates pushed down to it, and
 steps over payloads nobody asked for without decoding them.  Files are planned into partitions by size.
-A write lists its files in ``_files``; what failed attempts left beside them is not read.
+Every write lists its files in a ``_files-`` list of its own, and all lists of a folder are read; what failed attempts left beside
+them is not.  A write with mode overwrite removes the lists before its own.  A path without scheme lies on the cluster's default file system.
+A revisit names the record that it refers to as the standard says, and that record's page beside it.
 
 Null payloads are empty payloads.  Of rows with equal payloads all with the smallest page id are response
 records (one, if ids are unique); a null id is larger than any other.  A null address or id is left out of the headers and reads
@@ -38,7 +40,8 @@ from pyspark.sql.datasource import (
 )
 
 from newsloom.llm.common import ship_package
-from newsloom.operators.joins import join_checked
+from newsloom.operators.joins import fits_broadcast, salted_join
+from newsloom.sources.feather import qualified
 
 # Column -> header; these can be tested before any payload is decoded.
 HEADERS = {
@@ -48,21 +51,22 @@ HEADERS = {
     "warc_date": "WARC-Date",
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "X-Refers-To-Page",
+    "refers_to_record": "WARC-Refers-To",
     "page_id": "X-Page-Id",
     "payload_length": "X-Payload-Length",
 }
 NUMBERS = ("refers_to", "page_id", "payload_length")
 SCHEMA = (
     "record_type string, record_id string, target_uri string, warc_date string, payload_digest string, "
-    "refers_to long, page_id long, payload_length long, payload binary"
+    "refers_to long, refers_to_record string, page_id long, payload_length long, payload binary"
 )
-MANIFEST = "_files"
+MANIFEST = "_files-"
 PIECE = 1 << 20
 DATE = "2000-01-01T00:00:00Z"  # of pages without a date, so that reruns write equal bytes
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path; a path without scheme is taken as it is."""
+    """The file system of a path; ``qualified`` gives one without scheme the cluster's default."""
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
@@ -80,12 +84,16 @@ def member(head: bytes, block: bytes) -> bytes:
     )
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
+
+
 def record(row: dict) -> bytes:
     payload = row["payload"] or b""
     kind, digest = row["record_type"], base64.b32encode(bytes.fromhex(row["digest"])).decode()
     fields = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{row['page_id']} {row['url']} {digest}')}>",
+        "WARC-Record-ID": record_id(row["page_id"], digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": None if row["url"] is None else quote(row["url"], safe=":/?#[]@!$&'()*+,;=%~"),
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -95,6 +103,7 @@ def record(row: dict) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
     if kind == "revisit":
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        fields["WARC-Refers-To"] = record_id(row["refers_to"], digest)
         fields["X-Refers-To-Page"] = row["refers_to"]
     block = http + payload if kind == "response" else http
     fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
@@ -110,8 +119,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows (page_id, url, record_type, payload, digest, payload_bytes, refers_to) to ``.warc.gz`` files."""
 
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes = path, file_bytes
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False):
+        self.path, self.file_bytes, self.overwrite = path, file_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = store(self.path)
@@ -135,8 +144,16 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, base = store(self.path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{MANIFEST}", compression=None) as out:
+        before = manifests(fs, base) if self.overwrite else []
+        with fs.open_output_stream(f"{base}/{MANIFEST}{uuid.uuid4().hex}", compression=None) as out:
             out.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        for path in before:
+            fs.delete_file(path)
+
+
+def manifests(fs: pafs.FileSystem, base: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    return sorted(i.path for i in found if i.base_name.startswith(MANIFEST))
 
 
 class Files(InputPartition):
@@ -177,11 +194,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, base = store(self.path)
-        manifest = fs.get_file_info(f"{base}/{MANIFEST}")
-        if manifest.type == pafs.FileType.File:
-            with fs.open_input_file(manifest.path) as file:
-                names = [f"{base}/{n}" for n in json.loads(file.read())]
-        else:
+        names = []
+        lists = manifests(fs, base)
+        for path in lists:
+            with fs.open_input_file(path) as file:
+                names += [f"{base}/{n}" for n in json.loads(file.read())]
+        if not lists:
             found = fs.get_file_info(pafs.FileSelector(base, recursive=True))
             names = sorted(i.path for i in found if i.path.endswith((".warc", ".warc.gz")))
         parts, size = [[]], 0
@@ -289,7 +307,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options), schema)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("fileBytes", 256 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("fileBytes", 256 << 20)), overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
@@ -298,7 +316,7 @@ def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFram
     ship_package(spark)
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").schema(columns).load(path)
+    return spark.read.format("warc").schema(columns).load(qualified(spark, path))
 
 
 def digest_of(payload: F.Column) -> F.Column:
@@ -328,11 +346,15 @@ def write_warc(
         .select("digest", "payload_bytes", "_first", F.lit(True).alias("_again"))
     )
     revisit = F.coalesce(F.col("_again") & ~F.col("page_id").eqNullSafe(F.col("_first")), F.lit(False))
-    typed = join_checked(rows, again, ["digest", "payload_bytes"], "left").select(
+    if fits_broadcast(again):
+        joined = rows.join(F.broadcast(again), ["digest", "payload_bytes"], "left")
+    else:  # one payload may be that of any share of the pages
+        joined = salted_join(rows, again.drop("payload_bytes"), "digest", F.col("page_id"), "left")
+    typed = joined.select(
         "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(~revisit, F.col("payload")).alias("payload"), "digest", "payload_bytes",
         F.when(revisit, F.col("_first")).alias("refers_to"),
     )
     ship_package(pages.sparkSession)
     pages.sparkSession.dataSource.register(WarcSource)
-    typed.write.format("warc").mode("append").save(path)
+    typed.write.format("warc").mode("append").save(qualified(pages.sparkSession, path))
