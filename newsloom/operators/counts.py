@@ -59,16 +59,17 @@ def lump(df: DataFrame, top: DataFrame, label: str, out: str, other: str = OTHER
     ).drop("_member", "_in")
 
 
-def share_within(df: DataFrame, amount: str, parent: str, out: str = "percentage") -> DataFrame:
+def share_within(df: DataFrame, amount: str, parent: str, out: str = "percentage", calendar: bool = False) -> DataFrame:
     """``amount`` as a share of its parent group, for reduced frames.
 
     The totals are combined before they move.  If they are measured to be small they are broadcast, else a parent's rows
-    are spread over salted tasks, so a parent with very many rows is not gathered in one.
+    are spread over salted tasks, so a parent with very many rows is not gathered in one.  Parents from the ``calendar`` (days or weeks) are
+    few by nature, so their totals need no measuring job.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(parent).cast("string")), F.lit(""))  # null is a group too
     keyed = df.withColumn("_parent", key)
     totals = keyed.groupBy("_parent").agg(F.sum(amount).alias("_total"))
-    if fits_broadcast(totals):
+    if calendar or fits_broadcast(totals):
         joined = keyed.join(F.broadcast(totals), "_parent")
     else:
         joined = salted_join(keyed, totals, "_parent", F.xxhash64(*df.columns))

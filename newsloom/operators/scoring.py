@@ -17,21 +17,47 @@ from newsloom.session import small_batches
 Scorer = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
+def like_sized(texts: Sequence[str], rows: int, size: Callable[[str], int] = word_count) -> list[list[int]]:
+    """Places of the texts in batches of ``rows`` whose sizes are near each other, so that padding to a batch's largest one adds little."""
+    order = sorted(range(len(texts)), key=[size(t) for t in texts].__getitem__)
+    return [order[k : k + rows] for k in range(0, len(order), rows)]
+
+
+def padded(sizes: Sequence[int], batches: Sequence[Sequence[int]]) -> int:
+    """Tokens a model works on if each batch is padded to its largest text."""
+    return sum(len(b) * max(sizes[i] for i in b) for b in batches)
+
+
 def logits_of(
-    df: DataFrame, load: Callable[[], Scorer], text: str = "body", out: str = "logits", where: Column | None = None
+    df: DataFrame,
+    load: Callable[[], Scorer],
+    text: str = "body",
+    out: str = "logits",
+    where: Column | None = None,
+    rows: int = 32,
+    size: Callable[[str], int] = word_count,
 ) -> DataFrame:
     """Class scores per row, null where ``where`` does not hold.
 
     ``load`` runs once per task and returns the scorer; the scorer brings its own tokenizer and
-    input limit.  Only the text column goes to Python.
+    input limit, and gets ``rows`` texts of like ``size`` at a time, whatever their order in the table.  Only the text column goes to Python.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = load()
         for texts in batches:
-            rows = iter(scorer(texts.dropna().tolist()))
-            yield pd.Series([None if text is None else list(map(float, next(rows))) for text in texts], dtype="object")
+            found: list[list[float] | None] = [None] * len(texts)
+            given = [k for k, t in enumerate(texts) if t is not None]
+            asked = [texts.iloc[k] for k in given]
+            for batch in like_sized(asked, rows, size):
+                for i, scores in zip(batch, scorer([asked[i] for i in batch]), strict=True):
+                    found[given[i]] = list(map(float, scores))
+            yield pd.Series(found, dtype="object")
 
     # marked so that a filter on the result never runs the model twice
     return small_batches(df).withColumn(out, score.asNondeterministic()(where_text(text, where)))

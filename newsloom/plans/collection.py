@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators import dedup, extract, frontier, scoring
@@ -36,16 +36,23 @@ def collect_articles(
     pages: DataFrame,
     base: str,
     fields: Sequence[extract.Field] = extract.ARTICLE_FIELDS,
+    newest: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New article rows (without keys) and the frontier with outcomes; runs jobs at once.
 
-    ``pages`` holds each address once, relative to ``base``.  Every pending page is parsed once
-    and stored; an address that is pending twice gives two article rows, one whose page is not stored stays pending.
+    Addresses of ``pages`` are relative to ``base``.  Of several pages of one address the one with the largest ``newest`` counts (of
+    those, and without that column, one that only their content decides).  Every pending page is parsed once and stored; an address that
+    is pending twice gives two article rows, one whose page is not stored stays pending.
     """
     waiting = frontier.pending(frontier.todo(known), collected, base)
     wanted = written_table(waiting.groupBy("url").count(), "wanted")
-    needed = join_checked(pages.select("url", "html"), wanted, "url")
-    read = written_table(extract.read_articles(needed, fields), "read")
+    age = F.col(newest) if newest else F.lit(0)
+    needed = join_checked(pages.select("url", "html", age.alias("_age"), F.xxhash64("html").alias("_of")), wanted, "url")
+    parsed = written_table(extract.read_articles(needed, fields), "parsed")
+    # fields are chosen, not pages, and one row per address and task at most moves
+    latest = Window.partitionBy("url").orderBy(F.desc("_age"), "_of")
+    read = parsed.withColumn("_place", F.row_number().over(latest)).filter("_place = 1").drop("_place", "_age", "_of")
+    read = written_table(read, "read")
     results = written_table(frontier.outcomes(read), "outcomes")
     found = extract.accepted(read)
     again = repeat_rows(found.filter(F.col("count") > 1), "count")

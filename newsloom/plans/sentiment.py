@@ -38,7 +38,7 @@ def with_constant_share(groups: DataFrame) -> DataFrame:
 
 def with_share_of_day(groups: DataFrame) -> DataFrame:
     """Next to the constant share, a group's share of its day's articles."""
-    return share_within(groups, "n", "pubdate", "share_of_day")
+    return share_within(groups, "n", "pubdate", "share_of_day", calendar=True)
 
 
 def exclusive_tag_sentiment(

@@ -24,7 +24,7 @@ def weekly_label_share(
     weekly = count_by(articles, week(F.col("pubdate")).alias("week"), label)
     top = named_only(top_k(weekly, label, k, weight="n"), label)
     kept = keep_top(weekly, top, label).withColumnRenamed(label, out)
-    return share_within(kept, "n", "week")
+    return share_within(kept, "n", "week", calendar=True)
 
 
 def author_daily_activity(

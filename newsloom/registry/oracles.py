@@ -471,6 +471,7 @@ def oracle_sql() -> dict[str, str]:
                union all select * from frontier""",
         ),
         "frontier_outcome": _with(["updated"], "select * from updated"),
+        "frontier_outcome_log": _with(["updated"], "select * from updated"),
         "score_missing_merge": _with(
             ["scored"],
             f"""select id, url, coalesce(sentiment, case when {pos} >= greatest({e}, {neg}) then 1.0

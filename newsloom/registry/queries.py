@@ -17,7 +17,7 @@ from newsloom.plans import sentiment as sentiment_plans
 from newsloom.plans import collection, trends
 from newsloom.registry import scorer, views
 from newsloom.session import shared_path, written_table
-from newsloom.sources import feather, increments, sinks, tables
+from newsloom.sources import feather, frontier_log, increments, sinks, tables
 
 cloudpickle.register_pickle_by_value(scorer)
 
@@ -773,6 +773,18 @@ def frontier_outcome(spark, sf):
     return _failed_nulled(spark, sf)
 
 
+@query
+def frontier_outcome_log(spark, sf):
+    """The same from a log of two runs, compacted after the first; the frontier is not rewritten in between."""
+    links = views.stored_links(spark, sf)
+    outcomes, root = views.link_outcomes(links), shared_path(spark, "frontier-log")
+    first = F.xxhash64("url") % 2 == 0
+    frontier_log.append_run(spark, root, 1, views.frontier(spark, sf, links), outcomes.filter(first))
+    frontier_log.compact(spark, root, 1)
+    frontier_log.append_run(spark, root, 2, outcomes=outcomes.filter(~first))
+    return frontier_log.current(spark, root)
+
+
 @query
 def grown_frontier(spark, sf):
     """Frontier plus the links of the front pages since the newest event; one page stands for each day."""

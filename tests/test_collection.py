@@ -1,12 +1,13 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom import schemas
+from newsloom import schemas, session
 from newsloom.operators import frontier, scoring
 from newsloom.plans import collection
-from newsloom.sources import sinks
+from newsloom.sources import frontier_log, sinks
 from test_pages import page
 
 DAY = dt.date(2023, 4, 1)
@@ -108,6 +109,58 @@ def test_collection_run_and_rerun(spark, rows):
     assert rows(late, "url") == [("/missing",)] and ("/missing", 1) in rows(after, "url", "downloaded")
 
 
+def test_the_newest_page_of_an_address_counts(spark, rows):
+    table = known(spark, [("/a", DAY, 0), ("/b", DAY, 0), ("/c", DAY, 0), ("/c", DAY, 0)])
+    none = spark.createDataFrame([], "url string")
+    pages = spark.createDataFrame(
+        [("/a", page(origins=""), 1), ("/a", page(), 3), ("/a", page(time="x"), 2), ("/b", page(), 1), ("/b", page(time="x"), 2), ("/c", page(), 1), ("/c", page(), 1)],
+        "url string, html string, fetched int",
+    )
+    new, after = collection.collect_articles(table, none, pages, "://", newest="fetched")
+    assert rows(new, "url", "origins") == [("/a", "APA, red"), ("/c", "APA, red"), ("/c", "APA, red")]
+    assert rows(after, "url", "downloaded") == [(None, 2), ("/a", 1), ("/c", 1), ("/c", 1)]
+    # without an order one page of each address counts, always the same
+    some, _ = collection.collect_articles(table, none, pages, "://")
+    more, _ = collection.collect_articles(table, none, pages.repartition(5).orderBy(F.desc("fetched")), "://")
+    assert rows(some) == rows(more) and some.groupBy("url").count().filter("count > 2").count() == 0
+
+
+def test_log_gives_what_rewriting_gives(spark, rows, tmp_path):
+    """Random runs: addresses come back, outcomes differ, the log is compacted now and then."""
+    draw, root = random.Random(9), str(tmp_path)
+    urls = [f"/{k}" for k in range(12)]
+    whole = known(spark, [])
+    for run in range(1, 7):
+        found = known(spark, [(draw.choice([*urls, None]), DAY, draw.choice([0, 0, 1])) for _ in range(8)])
+        came = spark.createDataFrame([(u, draw.random() < 0.3) for u in draw.sample(urls, 4)], frontier_log.OUTCOMES)
+        whole = session.written_table(frontier.apply_outcomes(frontier.append_frontier(whole, found), came))
+        frontier_log.append_run(spark, root, run, found, came)
+        assert rows(frontier_log.current(spark, root)) == rows(whole)
+        if run in (2, 5):
+            frontier_log.compact(spark, root, run)
+            assert rows(frontier_log.current(spark, root)) == rows(whole)
+    with pytest.raises(ValueError, match="compacted"):
+        frontier_log.append_run(spark, root, 5, whole)
+    assert frontier_log.current(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_models_get_texts_of_like_size(spark, sf_dir):
+    texts = [r[0] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    sizes = [scoring.word_count(t) for t in texts]
+    given = [list(range(k, min(k + 32, len(texts)))) for k in range(0, len(texts), 32)]
+    like = scoring.like_sized(texts, 32)
+    assert sorted(i for b in like for i in b) == list(range(len(texts)))
+    assert scoring.padded(sizes, like) < 0.5 * scoring.padded(sizes, given)
+
+
+def test_scores_come_back_in_order(spark):
+    rows = [(i, None if i % 11 == 0 else "x" * (i * 37 % 101)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, body string").repartition(3)
+    load = lambda: lambda texts: [[len(t), len(texts), 0] for t in texts]
+    got = {r["id"]: r["logits"] for r in scoring.logits_of(df, load, rows=7, size=len).collect()}
+    assert all(got[i][0] == len(t or "") and got[i][1] <= 7 for i, t in rows)
+
+
 # a lambda travels to the workers by value, unlike a function of this test module
 letters = lambda: lambda texts: [(0.1, t.count("g"), t.count("s")) for t in texts]
 
