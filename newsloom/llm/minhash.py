@@ -18,7 +18,7 @@ thousand words.  Equal word sequences and buckets with the same members are reco
 A text without words is linked with nothing and is its own component.  A row without id can be linked, and
 its component is named by the smallest id in it (null if there is none).  Rows that share an id are judged
 by their own texts.  ``keep_one`` keeps exactly one row of each component, also where ids are null or repeated, and every row
-without words; other columns pass through it.
+without words; other columns pass through it.  Texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

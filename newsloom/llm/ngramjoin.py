@@ -7,7 +7,7 @@ n-grams that share a slot take the larger count), then by hash; those not counte
 that is the same for all sets gives right results; this one keeps frequent n-grams out of the prefixes.
 
 Texts are joined on the n-grams of their prefixes.  Pairs that meet are tested on length, on the places of the n-gram in both
-(positional filter), and on the counts of their members in 128 parts of the hash range, whose differences no
+(positional filter), and on the counts of their members in 64 parts of the hash range, whose differences no
 two sets so similar can exceed (suffix filter).  What passes is verified on the full sets, once per pair.
 
 Equal sets are one node, so copies cost one row.  Of n-grams with the same texts the first is taken.  In the first rounds, each
@@ -48,7 +48,7 @@ COUNTED = 1 << 62  # hashes below are counted: a quarter of the range
 SLOTS = 1 << 24  # bytes that tell every worker how often n-grams occur
 PAGE = 1 << 12  # slots that are collected together
 AT_ONCE = 20_000  # rows whose pairs are compared together
-RANGES = 128
+RANGES = 64
 CHUNK = 64
 ROUNDS = 3
 BLOCK = 400_000  # members of all sets in a block of the last round
@@ -67,7 +67,7 @@ def sketch(df: DataFrame, text: str, percent: int, width: int) -> DataFrame:
             rows = []
             for t in texts:
                 h = shingles(lower_words(t), width)
-                parts = np.bincount((h >> U(57)).astype(np.int64), minlength=RANGES)
+                parts = np.bincount((h >> U(58)).astype(np.int64), minlength=RANGES)
                 # those not counted come by hash, so no more of them are needed than the prefix holds
                 low = h[: int(np.searchsorted(h, U(COUNTED))) + prefix_length(len(h), percent)].view(np.int64) if len(h) else None
                 rows.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), low, np.minimum(parts, 255).astype(np.uint8).tobytes()))
