@@ -8,7 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.joins import fits_broadcast, join_checked, null_safe_join
+from newsloom.operators import joins
+from newsloom.operators.joins import join_checked, null_safe_join
 from newsloom.session import written_table
 
 KEYS = ("title", "subtitle")
@@ -67,7 +68,7 @@ def keep_one(df: DataFrame, groups: DataFrame, keys: Sequence[str], id_col: str)
     several = written_table(groups.filter(F.col("_rows") > 1).select(*keys, "_stays"), "several")
     leaves = F.col("_several") & F.col(id_col).isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_stays"))
     marked = several.withColumn("_several", F.lit(True))
-    if fits_broadcast(several):
+    if joins.fits_broadcast(several):
         joined = null_safe_join(df, F.broadcast(marked), keys, "left")
         return joined.filter(~F.coalesce(leaves, F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns])
     salted = df.select(*keys, id_col).withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
@@ -123,7 +124,7 @@ def dedup_increment(batch: DataFrame, state: DataFrame, keys: Sequence[str] = KE
     """
     own = written_table(group_state(batch, keys, id_col), "own")
     names = own.select(*keys)
-    if fits_broadcast(names):
+    if joins.fits_broadcast(names):
         mine = null_safe_join(state, F.broadcast(names), keys, "left_semi")
     else:
         mine = null_safe_join(state, names, keys, "left_semi")
