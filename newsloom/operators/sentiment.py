@@ -11,6 +11,8 @@ from newsloom.functions.scores import score_rounding
 from newsloom.functions.text import WORD_BOUNDARIES, word_tokens
 from newsloom.operators.joins import fits_broadcast, salted_join
 
+PARTS = 16  # of the texts of one key
+
 
 def article_words(
     articles: DataFrame, *keep: str, text: str = "body", pattern: str = WORD_BOUNDARIES
@@ -68,11 +70,17 @@ def lexicon_score_shuffled(
     pattern: str = WORD_BOUNDARIES,
     out: str = "score",
 ) -> DataFrame:
-    """The same score for a lexicon of any size."""
-    words = article_words(articles, *keep, text=text, pattern=pattern)
-    counted = words.groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("_times"))
+    """The same score for a lexicon of any size.
+
+    Texts move once, before they are cut into words, so that equal words of an article are counted where they are: a text is
+    several times smaller than the rows of its words.  A key that repeats is dealt by its texts; its parts are added up at the end.
+    """
+    part = F.pmod(F.xxhash64(F.col(text)), F.lit(PARTS)).cast("int").alias("_part")
+    placed = articles.select(*keep, F.col(text).alias("_text"), part).repartition(keep[0], "_part")
+    words = article_words(placed, *keep, "_part", text="_text", pattern=pattern)
+    counted = words.groupBy(*keep, "_part", "word").agg(F.count(F.lit(1)).alias("_times"))
     values = lexicon.groupBy("word").agg(F.sum("value").alias("value"))
-    points = salted_join(counted, values, "word", F.col(keep[0]), "left")
+    points = salted_join(counted.drop("_part"), values, "word", F.col(keep[0]), "left")
     total = F.sum(F.col("value") * F.col("_times"))
     return points.groupBy(*keep).agg(
         score_rounding(F.coalesce(total, F.lit(0.0))).alias(out)
