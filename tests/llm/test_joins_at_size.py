@@ -55,3 +55,17 @@ def test_a_round_that_hardly_joins_is_followed_by_the_last(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {5 * k + m: (118, 5 * k) for k in range(40) for m in range(5)}
     assert turns in ([0], [0, 1])
+
+
+def test_rows_are_dealt_out_by_bucket_once(spark):
+    rows = [(1, [5, 6, 7]), (2, [5, 6, 8]), (3, [9, 6, 7]), (4, [1, 2, 3])]
+    reps = spark.createDataFrame(rows, "node long, regs array<long>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = minhash.in_buckets(reps)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wide = [x for x in plan.splitlines() if "+- Exchange hashpartitioning(band" in x and "REPARTITION_BY_COL" in x]
+    assert len(wide) == 1 and plan.count("ReusedExchange") == 1
+    got = sorted(tuple(r) for r in minhash.in_buckets(reps).select("band", "key", "node", "m", "pivot").collect())
+    assert got == [(0, 5, 1, 2, 1), (0, 5, 2, 2, 1), (1, 6, 1, 3, 1), (1, 6, 2, 3, 1), (1, 6, 3, 3, 1), (2, 7, 1, 2, 1), (2, 7, 3, 2, 1)]
