@@ -69,3 +69,18 @@ def test_rows_are_dealt_out_by_bucket_once(spark):
     assert len(wide) == 1 and plan.count("ReusedExchange") == 1
     got = sorted(tuple(r) for r in minhash.in_buckets(reps).select("band", "key", "node", "m", "pivot").collect())
     assert got == [(0, 5, 1, 2, 1), (0, 5, 2, 2, 1), (1, 6, 1, 3, 1), (1, 6, 2, 3, 1), (1, 6, 3, 3, 1), (2, 7, 1, 2, 1), (2, 7, 3, 2, 1)]
+
+
+def test_ngrams_whose_pairs_are_all_settled_are_not_looked_at_again(spark, monkeypatch):
+    rng = np.random.RandomState(10)
+    rows = []
+    for k in range(10):  # two texts share a passage and are not alike
+        passage = [f"p{k}x{x}" for x in range(60)]
+        rows += [(2 * k + m, " ".join(passage + [f"w{x}" for x in rng.randint(0, 10**6, 60)])) for m in range(2)]
+    monkeypatch.setattr(ngramjoin, "SLOTS", 1)
+    first, last, plain, rest = [], [], ngramjoin.promising, ngramjoin.remaining
+    monkeypatch.setattr(ngramjoin, "promising", lambda *given: first.append(given[0].count()) or plain(*given))
+    monkeypatch.setattr(ngramjoin, "remaining", lambda *given: last.append(given[0].count()) or rest(*given))
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(20)}
+    assert first[0] > 0 and last == [0]
